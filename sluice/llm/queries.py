@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import token_digests
 from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
@@ -12,6 +13,13 @@ from .mixing import mix
 from .pii import PATTERNS, find_pii
 
 
+def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
+    """The path of a public vocabulary file and its splitting pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -25,9 +33,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), *vocabulary())
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[f"n_{k}" for k in PATTERNS], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_mixing, op7_exact_dedup, op9_pii)}
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_mixing, op7_exact_dedup, op8_bpe, op9_pii)}
