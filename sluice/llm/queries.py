@@ -10,6 +10,7 @@ from .common import fresh_path, table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix
+from .near_dedup import near_dedup
 from .pii import PATTERNS, find_pii
 from .quality import fit_quality, score_quality
 from .warc import read_warc, write_warc
@@ -27,6 +28,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -55,4 +60,4 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in PATTERNS], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op4_line_dedup, op5_mixing, op6_warc, op7_exact_dedup, op8_bpe, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op4_line_dedup, op5_mixing, op6_warc, op7_exact_dedup, op8_bpe, op9_pii)}
