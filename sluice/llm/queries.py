@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import token_digests
 from .common import fresh_path, table
+from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix
@@ -32,6 +33,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -60,4 +65,4 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in PATTERNS], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op4_line_dedup, op5_mixing, op6_warc, op7_exact_dedup, op8_bpe, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_embedding_dedup, op4_line_dedup, op5_mixing, op6_warc, op7_exact_dedup, op8_bpe, op9_pii)}
