@@ -87,23 +87,21 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
         yield fields, http, payload
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``pages`` as id, url, payload, refers_to, refers (whether it is a revisit).
+def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, digest, first) of the payloads that are written as revisits of page ``first``.
 
     Records with equal payloads of at least LEAST_REVISIT bytes refer to the
     one with the largest id; rows that repeat that id are responses as well.
     Null payloads are empty, null ids lose against any other.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    keys = [F.sha2("payload", 256).alias("digest"), F.length("payload").alias("size")]
-    copies = rows.select("id", *keys).where(F.col("size") >= LEAST_REVISIT).groupBy("digest", "size").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    copies = cut(copies.where("n > 1").select("digest", "first"))
-    joined = rows.withColumn("digest", F.when(F.length("payload") >= LEAST_REVISIT, F.sha2("payload", 256))).join(copies, "digest", "left")
-    refers = F.coalesce(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.lit(False))
-    return joined.select("id", "url", "payload", F.when(refers, F.col("first")).alias("refers_to"), refers.alias("refers"))
+    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), payload.alias("payload")).where(F.length("payload") >= LEAST_REVISIT).select("id", F.sha2("payload", 256).alias("digest"))
+    copies = rows.groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = cut(copies.where("n > 1 AND first IS NOT NULL").select("digest", "first"))
+    return rows.join(copies, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "digest", "first").distinct()
 
 
-def write_warc(pages: DataFrame, path: str, shards: int | None = None, shard_pages: int = 2048, roll_bytes: int = ROLL_BYTES, level: int = 6, **cols: str) -> list[dict]:
+def write_warc(pages: DataFrame, path: str, shards: int | None = None, shard_pages: int = 2048, roll_bytes: int = ROLL_BYTES, level: int = 6, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> list[dict]:
     """Write ``pages`` under ``path`` and return the manifest's files.
 
     The same pages give the same archives, however Spark deals the work out.
@@ -111,13 +109,16 @@ def write_warc(pages: DataFrame, path: str, shards: int | None = None, shard_pag
     Pages of a null id come first; pages of one id stand in the order of url
     and payload.  An empty table gives an empty manifest.
     """
-    ids = cols.get("id_col", "page_id")
-    low, high = pages.agg(F.min(ids).cast("long"), F.max(ids).cast("long")).first()
+    low, high = pages.agg(F.min(id_col).cast("long"), F.max(id_col).cast("long")).first()
     low, high = (0, 0) if low is None else (low, high)
     shards = shards or max(1, -(-(high - low + 1) // shard_pages))
     width = -(-(high - low + 1) // shards)
-    rows = plan_records(pages, **cols).withColumn("shard", F.coalesce(F.floor((F.col("id") - low) / F.lit(width)).cast("int"), F.lit(0)))
-    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "url", "payload")
+    records = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
+    records = records.withColumns({"digest": F.lit(None).cast("string"), "first": F.lit(None).cast("long")})
+    # the payloads move once; what is to be a revisit travels beside them and sorts before its page
+    marks = revisits(pages, id_col, html_col).select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first")
+    rows = records.unionByName(marks).withColumn("shard", F.coalesce(F.floor((F.col("id") - low) / F.lit(width)).cast("int"), F.lit(0)))
+    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), F.col("digest").asc_nulls_last(), "url", "payload")
     ship(pages.sparkSession)
     attempt = uuid.uuid4().hex
 
@@ -127,7 +128,8 @@ def write_warc(pages: DataFrame, path: str, shards: int | None = None, shard_pag
         task = uuid.uuid4().hex
         done: list[tuple] = []
         out, at, roll, written, records, digest, temp = None, None, 0, 0, 0, None, ""
-        repeated: tuple = (object(), 0)
+        page, times = object(), 0
+        refers: dict[str, int] = {}
 
         def close() -> None:
             nonlocal out
@@ -140,14 +142,20 @@ def write_warc(pages: DataFrame, path: str, shards: int | None = None, shard_pag
 
         for batch in batches:
             for row in batch.to_pylist():
+                if row["id"] != page:
+                    page, times, refers = row["id"], 0, {}
+                if row["digest"] is not None:
+                    refers[row["digest"]] = row["first"]
+                    continue
                 if out is None or row["shard"] != at or written >= roll_bytes:
                     close()
                     roll = roll + 1 if row["shard"] == at else 0
                     at, written, records, digest = row["shard"], 0, 0, hashlib.sha256()
                     temp = f"{root}/_temporary-{attempt}-{task}-{at}-{roll}"
                     out = store.open_output_stream(temp)
-                repeated = (row["id"], repeated[1] + 1) if repeated[0] == row["id"] else (row["id"], 0)
-                record = make_record(row["id"], row["url"], row["payload"], row["refers_to"], row["refers"], repeated[1])
+                first = refers.get(hashlib.sha256(row["payload"]).hexdigest()) if refers else None
+                record = make_record(page, row["url"], row["payload"], first, first is not None, times)
+                times += 1
                 member = gzip.compress(record, compresslevel=level, mtime=0)
                 out.write(member)
                 digest.update(member)
@@ -157,8 +165,9 @@ def write_warc(pages: DataFrame, path: str, shards: int | None = None, shard_pag
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], type=k) for i, k in enumerate(kinds)], names=["shard", "roll", "file", "bytes", "records", "sha256"])
 
-    # one row a file: the only attempt of each task that Spark accepted
-    files = [r.asDict() for r in rows.mapInArrow(run, "shard int, roll int, file string, bytes long, records long, sha256 string").orderBy("shard", "roll").collect()]
+    # one row a file: the only attempt of each task that Spark accepted; sorted here, as a sort in Spark would run the writers twice
+    written = rows.mapInArrow(run, "shard int, roll int, file string, bytes long, records long, sha256 string").collect()
+    files = sorted((r.asDict() for r in written), key=lambda f: (f["shard"], f["roll"]))
     store, root = fs.FileSystem.from_uri(path)
     store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/_{MANIFEST}-{attempt}") as out:
