@@ -178,3 +178,19 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
     scored = found.mapInArrow(run, f"id {id_type}, score double")
     return scored.select(F.col("id").alias(id_col), (fold("id") == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose whole text scores ``least`` or more, all columns as they are; no row moves."""
+    ship(docs.sparkSession)
+    own = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good, bad = compressor(own.value.good), compressor(own.value.bad)
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            scores = own.value.scores(measure([t or b"" for t in texts], good, bad))
+            yield batch.filter(pa.array(scores >= least))
+
+    return docs.mapInArrow(run, docs.schema)
