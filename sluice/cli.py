@@ -41,7 +41,8 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def run(args: argparse.Namespace, out=sys.stdout, err=sys.stderr) -> None:
+def run(args: argparse.Namespace) -> None:
+    out, err = sys.stdout, sys.stderr
     if not args.input_file and not args.dsn:
         raise ValueError("an input file or --dsn is needed")
     if args.sample is not None and not args.dsn and not args.target_rows:
