@@ -14,11 +14,12 @@ Lists stay bounded in work without losing pairs:
   one, so only those enter the lists.  Frequent passages thus matter only to
   documents that consist of little else.
 * Only components are asked for, so a list is not expanded into pairs.  In
-  each round it names leaders, which are compared with the others of the list
-  that no earlier edge joins to them; leaders then leave the list.  A list
-  whose members are in one component is done.  The number of leaders doubles
-  from round to round, so that a list with members that never join is
-  exhausted in a logarithm of its length, every pair of it compared.
+  each round it names leaders outside its largest component, which are
+  compared with the members that no earlier edge joins to them; leaders then
+  leave the list.  A list whose members are in one component is done.  The
+  number of leaders grows sixteenfold from round to round, so that a list with
+  members that never join is exhausted in a logarithm of their number, every
+  pair across components compared.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, text_or_empty
+from .common import cut, release, ship, text_or_empty
 from .graph import components
 
 #: Values that a sketch retains.
@@ -92,16 +93,17 @@ def prefix_length(s: Column, k: int, threshold: float) -> Column:
     return s - F.when(s < k * threshold, exact).otherwise(likely) + 1
 
 
-def may_link(a: Column, b: Column, k: int, threshold: float) -> Column:
-    """Whether the sketch of the union allows the threshold, within five standard deviations."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    n = F.size(union)
-    return both / n >= threshold - 5 * F.sqrt(F.lit(threshold * (1 - threshold)) / n)
+def most_similar(k: int, threshold: float) -> Column:
+    """The most that the similarity of (sa, na) and (sb, nb) may be: estimate from the union's sketch plus five
+    standard deviations at the threshold, and the ratio of the sizes."""
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
+    both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
+    estimate = both / F.size(union) + 5 * F.sqrt(F.lit(threshold * (1 - threshold)) / F.size(union))
+    return F.least(estimate, F.least("na", "nb") / F.greatest("na", "nb"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """The (a, b) whose full sets have 100 * intersection >= percent * union."""
+def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(a, b, both, either): the sizes of the intersection and the union of the full sets."""
     ta = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     rows = pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
@@ -109,16 +111,17 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for batch in batches:
-            keep = []
+            both, either = [], []
             for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if last[0] != a:
                     last = a, shingle_hashes(ta, size)
                 left, right = last[1], shingle_hashes(tb, size)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(100 * both >= percent * (len(left) + len(right) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+                both.append(len(np.intersect1d(left, right, assume_unique=True)))
+                either.append(len(left) + len(right) - both[-1])
+            counts = [pa.array(x, type=pa.int64()) for x in (both, either)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *counts], names=["a", "b", "both", "either"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, both long, either long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5, k: int = K) -> DataFrame:
@@ -130,7 +133,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     be unique; rows that repeat an id (nulls among them) share its component
     when their texts are equal and are otherwise told apart by their sets.
     """
-    threshold = percent / 100
+    threshold, spark = percent / 100, docs.sparkSession
     sets = cut(sketches(docs, id_col, text_col, k, size))
     classes = cut(sets.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")))
     reps = sets.join(classes, "digest").where("id = rep").dropDuplicates(["digest"]).select("id", "n", "sketch")
@@ -147,34 +150,32 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined: DataFrame | None = None  # (node, root) of the representatives joined so far
     texts: DataFrame | None = None
     tested: DataFrame | None = None
-    leaders = 1
+    leaders = 4
     while True:
         now = lists.withColumn("comp", F.col("id"))
         if joined is not None:
-            now = lists.join(joined, F.col("id") == F.col("node"), "left").select("value", "id", F.coalesce("root", "id").alias("comp"))
-        mixed = cut(now.groupBy("value").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("value"))
+            now = lists.join(joined, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "id")).drop("node", "root")
+        sizes = now.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("size"))
+        mixed = sizes.groupBy("value").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("size", "comp"))["comp"].alias("main"))
+        mixed = cut(mixed.where("comps > 1").select("value", "main"))
         if mixed.isEmpty():
             break
-        now = cut(now.join(mixed, "value", "left_semi"))
-        first = now.groupBy("value", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("turn")).agg(F.min(F.struct("id", "comp")).alias("l"))
-        first = cut(first.select(F.col("value").alias("v"), F.col("l.id").alias("a"), F.col("l.comp").alias("ca")))
+        now = cut(now.join(mixed, "value"))
+        # once all others have been leaders, only the main component of a list is left
+        first = now.where("comp <> main").groupBy("value", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("turn")).agg(F.min(F.struct("id", "comp")).alias("l"))
+        first = first.select(F.col("value").alias("v"), F.col("l.id").alias("a"), F.col("l.comp").alias("ca"))
         pairs = now.join(first, F.col("value") == F.col("v")).where("comp <> ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
         pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         sa = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         sb = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        pairs = pairs.join(sa, "a").join(sb, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        pairs = cut(pairs.where(may_link(F.col("sa"), F.col("sb"), k, threshold)).select("a", "b"))
-        wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
-        source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-        if texts is None:
-            texts = cut(_texts(source, wanted))
-        else:
-            missing = cut(wanted.join(texts, F.col("w") == F.col("id"), "left_anti"))
-            if not missing.isEmpty():
-                texts = texts.unionByName(cut(_texts(source, missing)))
-        edges = cut(verified(pairs, texts, percent, size))
+        pairs = pairs.join(sa, "a").join(sb, "b").withColumn("limit", most_similar(k, threshold))
+        pairs = cut(pairs.where(F.col("limit") >= threshold).select("a", "b"))
+        if texts is None:  # of all documents that share a value; later rounds have no others
+            source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
+            texts = cut(source.join(now.select(F.col("id").alias("w")).distinct(), F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id"]))
+        edges = cut(compared(pairs, texts, size).where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"))
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not edges.isEmpty():
             if joined is not None:  # between the roots of what is joined already
@@ -190,7 +191,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 joined = cut(old.unionByName(merged.join(joined, "node", "left_anti")))
         gone = first.select(F.col("v").alias("value"), F.col("a").alias("id"))
         lists = cut(now.select("value", "id").join(gone, ["value", "id"], "left_anti"))
-        leaders *= 2
+        release(spark)
+        leaders *= 16
 
     out = sets.select("id", "n", "digest").join(classes, "digest", "left")
     own = F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id"))
@@ -199,6 +201,3 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = out.join(joined, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("root", "rep").alias("rep"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), F.coalesce(F.col("id") == F.col("rep"), F.lit(True)).alias("kept"))
 
-
-def _texts(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    return source.join(wanted, F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id"])
