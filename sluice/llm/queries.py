@@ -14,6 +14,7 @@ from .mixing import mix
 from .near_dedup import near_dedup
 from .pii import PATTERNS, find_pii
 from .quality import fit_quality, score_quality
+from .token_counts import token_counts
 from .warc import read_warc, write_warc
 
 
@@ -65,4 +66,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in PATTERNS], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_embedding_dedup, op4_line_dedup, op5_mixing, op6_warc, op7_exact_dedup, op8_bpe, op9_pii)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary()[0])
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_embedding_dedup, op4_line_dedup, op5_mixing, op6_warc, op7_exact_dedup, op8_bpe, op9_pii, op10_token_counts)}
