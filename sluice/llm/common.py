@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import itertools
 import tempfile
 import uuid
 import zipfile
@@ -42,14 +43,22 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Cuts between two calls of ``release``.
+RELEASE_EVERY = 6
+_cuts = itertools.count(1)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    if next(_cuts) % RELEASE_EVERY == 0:
+        release(df.sparkSession)
+    return done
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files and plans of finished rounds: it does so when the driver collects garbage."""
+    """Let Spark drop the shuffle files, plans and buffers of finished jobs: it does so when the driver collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -139,13 +139,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = sets.join(classes, "digest").where("id = rep").dropDuplicates(["digest"]).select("id", "n", "sketch")
     reps = cut(reps)
 
-    values = reps.select("id", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
+    values = reps.select("id", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     shared = cut(values.groupBy("value").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"))
-    entries = values.join(shared, "value").groupBy("id", "s").agg(F.array_sort(F.collect_list(F.struct("freq", "value"))).alias("e"))
+    entries = values.join(shared, "value").groupBy("id", "n", "s").agg(F.array_sort(F.collect_list(F.struct("freq", "value"))).alias("e"))
     # values of no other document come first in the order of rarity and take their places in the prefix
     left = prefix_length(F.col("s"), k, threshold) - (F.col("s") - F.size("e"))
     entries = entries.withColumn("left", left.cast("int")).where("left > 0")
-    lists = cut(entries.select("id", F.explode(F.slice("e", F.lit(1), F.col("left"))).alias("x")).select("x.value", "id"))
+    lists = cut(entries.select("id", "n", F.explode(F.slice("e", F.lit(1), F.col("left"))).alias("x")).select("x.value", "id", "n"))
 
     joined: DataFrame | None = None  # (node, root) of the representatives joined so far
     texts: DataFrame | None = None
@@ -162,9 +162,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         now = cut(now.join(mixed, "value"))
         # once all others have been leaders, only the main component of a list is left
-        first = now.where("comp <> main").groupBy("value", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("turn")).agg(F.min(F.struct("id", "comp")).alias("l"))
-        first = first.select(F.col("value").alias("v"), F.col("l.id").alias("a"), F.col("l.comp").alias("ca"))
-        pairs = now.join(first, F.col("value") == F.col("v")).where("comp <> ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+        first = now.where("comp <> main").groupBy("value", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("turn")).agg(F.min(F.struct("id", "comp", "n")).alias("l"))
+        first = first.select(F.col("value").alias("v"), F.col("l.id").alias("a"), F.col("l.comp").alias("ca"), F.col("l.n").alias("na"))
+        alike = F.least("n", "na") * 100 >= F.greatest("n", "na") * percent  # sizes that allow the threshold
+        pairs = now.join(first, (F.col("value") == F.col("v")) & (F.col("comp") != F.col("ca")) & alike).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
         pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -190,7 +191,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 old = joined.join(m, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root"))
                 joined = cut(old.unionByName(merged.join(joined, "node", "left_anti")))
         gone = first.select(F.col("v").alias("value"), F.col("a").alias("id"))
-        lists = cut(now.select("value", "id").join(gone, ["value", "id"], "left_anti"))
+        lists = cut(now.select("value", "id", "n").join(gone, ["value", "id"], "left_anti"))
         release(spark)
         leaders *= 16
 
