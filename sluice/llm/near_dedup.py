@@ -150,7 +150,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined: DataFrame | None = None  # (node, root) of the representatives joined so far
     texts: DataFrame | None = None
     tested: DataFrame | None = None
-    leaders = 4
+    leaders = 1
     while True:
         now = lists.withColumn("comp", F.col("id"))
         if joined is not None:
