@@ -4,18 +4,21 @@ Vectors of one label (and one length) form a cell.  Several sorted orders of
 random sign codes give every vector its first neighbours.  Rounds of
 neighbours-of-neighbours joins then improve the lists: around each vector its
 neighbours and reverse neighbours meet, all pairs among them are measured, and
-the best ``k`` of each vector stay.  A list that is full of links is saturated:
-it is enlarged and refined again.  Vectors whose enlarged lists are saturated
-too are compared with their whole cell in blocks, which is exact; of links
-among those only counts and spanning edges leave a block, so a dense group
-costs no row per pair.  A hashed sample is compared in the same way and audits
-the recall of the lists; below ``least_recall`` further orders and rounds
-follow.
+the best ``k`` of each vector stay, until a round adds no link.  A list that
+is full of links is saturated: it is enlarged and refined again.  Vectors whose
+enlarged lists are saturated too are compared with their whole cell in blocks,
+which is exact; of links among those only counts and spanning edges leave a
+block, so a dense group costs no row per pair.  Samples of each cell, of the
+vectors with links and of those without, are compared in the same way and audit
+the lists of that cell; below ``least_recall`` further orders and rounds follow
+there, and a cell that is never settled is compared whole.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -161,6 +164,24 @@ def descend(graph: DataFrame, reps: DataFrame, kind: str, only: DataFrame | None
     return rows.mapInArrow(meet, "u long, v long, sim double")
 
 
+def moved(old: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
+    """(u, link) of the vectors whose own or reverse neighbours differ between two graphs; link: the new one has a link more."""
+    side = lambda graph, link: edges_of(graph).select("u", "v", link.alias("link"))
+    both = side(old, F.lit(False)).unionByName(side(new, F.col("sim") >= threshold))
+    single = both.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.max("link").alias("link")).where("n = 1")
+    return single.select(F.explode(F.array("u", "v")).alias("u"), "link").groupBy("u").agg(F.max("link").alias("link"))
+
+
+def refine(graph: DataFrame, reps: DataFrame, kind: str, threshold: float, sizes: DataFrame | None, k: int, only: DataFrame | None = None, least: int = 2) -> DataFrame:
+    """``graph`` after ``least`` or more joins around what changed, until a join adds no link."""
+    for n in itertools.count(1):
+        better = cut(best(edges_of(graph).select("u", "v", "sim").unionByName(descend(graph, reps, kind, only)), sizes, k))
+        only = cut(moved(graph, better, threshold))
+        graph = better
+        if n >= least and only.where("link").isEmpty():
+            return graph
+
+
 def _spanning(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which of the edges (i, j) a spanning forest keeps."""
     parent: dict[int, int] = {}
@@ -185,13 +206,15 @@ def scan(queries: DataFrame, reps: DataFrame, kind: str, threshold: float) -> Da
     of a block's spanning forest of links between queries; kind 2: a link of query a with b, which is no query.
     """
     flagged = reps.join(queries.select(F.col("id").alias("q")), F.col("id") == F.col("q"), "left").withColumn("asked", F.col("q").isNotNull())
-    counts = cut(reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / _BLOCK).cast("int")))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / _BLOCK).cast("int"))
+    counts = cut(flagged.groupBy("label", "dim").agg(blocks(F.count(F.lit(1))).alias("blocks"), blocks(F.count_if("asked")).alias("q_blocks")))
     flagged = flagged.join(counts, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    asked = flagged.where("asked").withColumn("block", F.pmod(F.xxhash64("id"), F.col("q_blocks")))
 
     def blocked(rows: DataFrame, as_name: str) -> DataFrame:
         return rows.groupBy("label", "dim", "block").agg(F.collect_list(F.struct("id", "vec", "asked", "weight")).alias(as_name)).drop("block")
 
-    pairs = blocked(flagged.where("asked"), "qs").join(blocked(flagged, "ds"), ["label", "dim"]).select("qs", "ds").repartition(200)
+    pairs = blocked(asked, "qs").join(blocked(flagged, "ds"), ["label", "dim"]).select("qs", "ds").repartition(200)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +236,39 @@ def scan(queries: DataFrame, reps: DataFrame, kind: str, threshold: float) -> Da
     return pairs.mapInArrow(run, "kind int, a long, b long, n long, m long")
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, k: int = 8, orders: int = 8, window: int = 4, rounds: int = 2, enlarge: int = 4, audit: int = 256, least_recall: float = 0.95, attempts: int = 3) -> DataFrame:
+def sampled(reps: DataFrame, links: DataFrame, saturated: DataFrame, audit: int, least_recall: float, seed: int) -> DataFrame:
+    """id, label, dim, n (known links), size (of the stratum), known (links of the cell), taken: the vectors that are not saturated.
+
+    The strata of a cell are its vectors with known links and those without.  A sample has ``audit`` vectors or
+    more, growing with its stratum; that of the vectors without links is so large that finding no link bounds
+    what all of them can miss (by the rule of three), which is all of them where the cell has no known link.
+    """
+    n = links.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    rows = reps.select("id", "label", "dim").join(saturated.select("id"), "id", "left_anti").join(n, F.col("id") == F.col("u"), "left")
+    rows = rows.select("id", "label", "dim", F.coalesce("n", F.lit(0)).alias("n"))
+    cells = rows.groupBy("label", "dim").agg(F.count_if(F.col("n") > 0).alias("with"), F.count_if(F.col("n") == 0).alias("without"), F.sum("n").alias("known"))
+    rows = rows.join(cells, ["label", "dim"]).withColumn("size", F.when(F.col("n") > 0, F.col("with")).otherwise(F.col("without")))
+    bound = F.when(F.col("known") > 0, F.col("size") * F.lit(6.0 / (1 - least_recall)) / F.col("known")).otherwise(F.col("size"))
+    want = F.greatest(F.lit(float(audit)), F.sqrt("size") * 4, F.when(F.col("n") == 0, bound))
+    taken = F.pmod(F.xxhash64(F.lit("audit"), F.lit(seed), "id"), F.col("size")) < want
+    return rows.select("id", "label", "dim", "n", "size", "known", taken.alias("taken"))
+
+
+def unsettled(sample: DataFrame, exact: DataFrame, least_recall: float) -> DataFrame:
+    """(label, dim) of the cells whose lists may know less than ``least_recall`` of the links of vectors not compared exactly."""
+    m = F.when(F.col("kind") == 0, F.col("m")).when(F.col("kind") == 2, 1).otherwise(0)
+    true = exact.groupBy("a").agg(F.sum(m).alias("true"))
+    rows = sample.join(true, F.col("id") == F.col("a"), "left")
+    lost = F.when(F.col("taken"), F.greatest(F.lit(0), F.col("true") - F.col("n")))
+    linked = F.col("n") > 0
+    strata = rows.groupBy("label", "dim", linked.alias("linked")).agg(F.max("size").alias("size"), F.max("known").alias("known"), F.count_if("taken").alias("s"), F.sum(lost).alias("lost"))
+    # nothing is missing of a sample itself; three more may be where few are found
+    missing = F.when(F.col("s") == F.col("size"), 0.0).otherwise((F.col("lost") + F.when(F.col("linked"), 0).otherwise(3)) * (F.col("size") - F.col("s")) / F.when(F.col("s") > 0, F.col("s")))
+    cells = strata.groupBy("label", "dim").agg(F.sum(F.coalesce(missing, F.lit(float("inf")))).alias("missing"), F.max("known").alias("known"))
+    return cells.where(F.col("missing") * F.lit(least_recall) > F.col("known") * F.lit(1 - least_recall)).select("label", "dim")
+
+
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, k: int = 8, orders: int = 8, window: int = 4, enlarge: int = 4, audit: int = 256, least_recall: float = 0.95, attempts: int = 3) -> DataFrame:
     """One row for each row of ``vectors``: id, n_links, component_id, kept.
 
     Vectors of equal labels link when their cosine, in double precision, is at
@@ -221,6 +276,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     null, zero or hold null or non-finite components, and those without a
     label or an id, link with nothing and are their own components.  Equal
     vectors are one class: its members link with each other and share the rest.
+    Cells whose lists do not pass their audit in ``attempts`` are compared whole.
     Ids must be unique.  An empty table gives no rows.
     """
     element = vectors.schema[vec_col].dataType.elementType.simpleString()
@@ -229,33 +285,39 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     classes = cut(packed.groupBy("label", "dim", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")))
     member = packed.join(classes.withColumnRenamed("id", "rep"), ["label", "dim", "vec"]).select("id", "rep", "weight")
 
-    graph, used = None, 0
+    full = (F.size("near") > 0) & (F.size("near") >= F.col("k")) & (-F.element_at("near", -1)["down"] >= threshold)
+    graph, sizes, left = None, None, classes
+    parts: list[tuple[DataFrame, DataFrame, DataFrame]] = []
     for attempt in range(attempts):
-        triples = first_neighbours(classes, kind, range(used, used + orders), window)
-        used += orders
+        triples = first_neighbours(left, kind, range(attempt * orders, (attempt + 1) * orders), window)
         if graph is not None:
             triples = triples.unionByName(edges_of(graph).select("u", "v", "sim"))
-        graph = cut(best(triples, None, k))
-        for _ in range(rounds):
-            graph = cut(best(edges_of(graph).select("u", "v", "sim").unionByName(descend(graph, classes, kind)), None, k))
-        full = (F.size("near") >= F.col("k")) & (-F.element_at("near", -1)["down"] >= threshold)
-        wide = cut(graph.where((F.size("near") > 0) & full).select("u", F.lit(k * enlarge).alias("k")))
+        graph = refine(cut(best(triples, sizes, k)), left, kind, threshold, sizes, k)
+        wide = cut(graph.where(full & (F.col("k") == k)).select("u", F.lit(k * enlarge).alias("k")))
         if not wide.isEmpty():
-            grown = graph.select("u", "near").join(wide, "u", "left").select("u", F.coalesce("k", F.lit(k)).alias("k"), "near")
-            found = descend(grown, classes, kind, wide)
-            graph = cut(best(edges_of(grown).select("u", "v", "sim").unionByName(found), wide, k))
-        saturated = graph.where((F.size("near") > 0) & full).select(F.col("u").alias("id"))
-        sample = classes.select("id").orderBy(F.xxhash64(F.lit("audit"), "id")).limit(audit)
-        queries = cut(saturated.unionByName(sample).distinct())
-        exact = cut(scan(queries, classes, kind, threshold))
+            sizes = wide if sizes is None else cut(sizes.unionByName(wide))
+            grown = cut(graph.select("u", "near").join(sizes, "u", "left").select("u", F.coalesce("k", F.lit(k)).alias("k"), "near"))
+            around = edges_of(grown).join(wide.select("u"), "u", "left_semi").select(F.col("v").alias("u")).unionByName(wide.select("u")).distinct()
+            graph = refine(grown, left, kind, threshold, sizes, k, cut(around), 1)
+        saturated = graph.where(full).select(F.col("u").alias("id"))
         links = edges_of(graph).where(F.col("sim") >= threshold).select("u", "v")
         links = cut(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-        # the audit: what the lists know of the sampled vectors' links that are not saturated
-        checked = queries.join(saturated, "id", "left_anti")
-        true = exact.join(checked, F.col("a") == F.col("id"), "left_semi").agg(F.sum(F.when(F.col("kind") == 0, F.col("m")).when(F.col("kind") == 2, 1).otherwise(0))).first()[0]
-        known = links.join(checked, F.col("u") == F.col("id"), "left_semi").count()
-        if known >= least_recall * (true or 0):
+        sample = cut(sampled(left, links, saturated, audit, least_recall, attempt))
+        queries = cut(saturated.unionByName(sample.where("taken").select("id")))
+        exact = cut(scan(queries, left, kind, threshold))
+        cells = cut(unsettled(sample, exact, least_recall))
+        if cells.isEmpty():
+            parts.append((queries, exact, links))
+            left = None
             break
+        poor = cut(left.join(cells, ["label", "dim"], "left_semi").select(*classes.columns))
+        ids = poor.select("id")
+        parts.append((queries.join(ids, "id", "left_anti"), exact.join(ids, F.col("a") == F.col("id"), "left_anti"), links.join(ids, F.col("u") == F.col("id"), "left_anti")))
+        graph, left = cut(graph.join(ids, F.col("u") == F.col("id"), "left_semi")), poor
+    if left is not None:  # the exact way out
+        queries = left.select("id")
+        parts.append((queries, cut(scan(queries, left, kind, threshold)), parts[0][2].limit(0)))
+    queries, exact, links = (reduce(DataFrame.unionByName, x) for x in zip(*parts, strict=True))
 
     q = queries.withColumnRenamed("id", "q")
     listed = links.join(q, F.col("u") == F.col("q"), "left_anti").join(q, F.col("v") == F.col("q"), "left_anti")

@@ -183,6 +183,28 @@ def test_embedding_dedup_brute(spark):
     assert embedding_dedup.embedding_dedup(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("attempts", [1, 2])
+def test_embedding_dedup_finds_rare_links_in_poor_lists(spark, attempts):
+    """Few links, far apart in one poor order: the audit must see it, and the cell must come out exact."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1200, 32))
+    x = np.concatenate((x, x[:12] + 0.24 * rng.standard_normal((12, 32)))).astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.93
+    np.fill_diagonal(links, False)
+    frame = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_dedup(frame, k=2, orders=1, window=1, attempts=attempts).collect()}
+    assert links.sum() >= 20 and [got[i] for i in range(len(x))] == links.sum(axis=1).tolist()
+
+
+def test_embedding_audit_is_per_cell(spark):
+    """A cell whose lists know half of its links is not settled by another that knows all."""
+    rows = [(i, label, 8, 4, 1000, 4000, i < 300) for label, start in (("good", 0), ("bad", 1000)) for i in range(start, start + 600)]
+    sample = spark.createDataFrame([(i, c, d, n, s, m, i % 1000 < 300) for i, c, d, n, s, m, _ in rows], "id long, label string, dim int, n long, size long, known long, taken boolean")
+    exact = spark.createDataFrame([(0, i, i, 0, 4 if c == "good" else 8) for i, c, *_ in rows if i % 1000 < 300], "kind int, a long, b long, n long, m long")
+    assert [r["label"] for r in embedding_dedup.unsettled(sample, exact, 0.95).collect()] == ["bad"]
+
+
 @pytest.fixture(scope="module")
 def coders():
     path, pattern = vocabulary()
