@@ -75,12 +75,13 @@ def invert_demand(offset: Column, target: Column, turn: Column, schedules: Seque
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, budget: float = 1.5, most: float = 2.0) -> DataFrame:
-    """id, size, source_size, target, taken, position, of every row, range-sorted by position.
+    """id, size, source_size, target, taken, position, again, of every row, range-sorted by position.
 
     ``taken`` is the number of the document's words that the mix takes, repeats
     counted: a source is read from its start in hash order, once and then once
     more, until its target (rounded down) is met.  ``position`` is the place of
-    its first reading, null where nothing is taken.  Null and empty texts have
+    its first reading and ``again`` that of its second, which starts one source size
+    later; each is null where it takes nothing.  Null and empty texts have
     size 0; a null source is a source of its own, the last; rows of one id
     follow each other by size.  An empty table gives an empty mix.
     """
@@ -99,14 +100,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = F.floor("target").cast("long")
     once = lambda goal: F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("at"))).cast("long")
     placed = placed.withColumn("taken", once(whole) + once(whole - F.col("source_size")))
-    at = F.round(invert_demand(F.col("at").cast("double"), F.col("target"), F.col("turn"), schedules), 9)
-    placed = placed.withColumn("position", F.when(F.col("taken") > 0, at))
+    met = lambda offset: F.round(invert_demand(offset.cast("double"), F.col("target"), F.col("turn"), schedules), 9)
+    placed = placed.withColumn("position", F.when(F.col("taken") > 0, met(F.col("at"))))
+    placed = placed.withColumn("again", F.when(once(whole - F.col("source_size")) > 0, met(F.col("at") + F.col("source_size"))))
     # what is never reached comes after the end, spread by its offset
     late = F.coalesce("position", F.lit(1.0) + F.col("at") / (F.col("source_size") + F.lit(1.0)))
     return (
         placed.withColumn("late", late)
         .orderBy("late", "h")
-        .select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "position")
+        .select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "position", "again")
     )
 
 
@@ -114,16 +116,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame
     """The documents of the mix, with the columns of ``docs``, in training order.
 
     Texts are never cut: a document comes as often as ``taken / size`` rounds to
-    (halves up), which is 0, 1 or 2 times.  Ids must be unique.
+    (halves up), which is 0, 1 or 2 times, each copy at the position of its own
+    reading.  Ids must be unique.
     """
     takes = mix(docs, id_col, **how).where("taken > 0")
     times = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
-    takes = takes.select(F.col(id_col).alias("_id"), times.alias("_times"), F.col("position").alias("_position")).where("_times > 0")
+    takes = takes.select(F.col(id_col).alias("_id"), times.alias("_times"), F.array("position", "again").alias("_positions")).where("_times > 0")
     columns = docs.columns
     return (
         docs.join(takes, docs[id_col] == F.col("_id"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .repartitionByRange("_copy", "_position")
-        .sortWithinPartitions("_copy", "_position")
+        .withColumn("_position", F.explode(F.slice("_positions", F.lit(1), F.col("_times"))))
+        .repartitionByRange("_position")
+        .sortWithinPartitions("_position")
         .select(*columns)
     )

@@ -44,7 +44,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("again")  # the SQL has the first reading's position
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

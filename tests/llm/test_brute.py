@@ -126,6 +126,31 @@ def test_mix_targets_and_positions(spark):
     assert at == sorted(at)
 
 
+def test_mixed_documents_stand_at_the_positions_of_their_readings(spark):
+    names = ["a"] * 100 + ["b"] * 300
+    words = [5 + i % 7 for i in range(len(names))]
+    out = [r["doc_id"] for r in mixing.mixed_documents(docs(spark, ["w " * n for n in words], names)).collect()]
+    sizes = {s: sum(n for n, t in zip(words, names, strict=True) if t == s) for s in "ab"}
+    targets = {"a": 2 * sizes["a"], "b": 1.5 * sum(sizes.values()) - 2 * sizes["a"]}  # a is capped
+    schedules, readings = dict(zip("ab", mixing.SCHEDULES, strict=False)), {}
+    for s in "ab":
+        at = 0
+        for i in sorted((i for i, t in enumerate(names) if t == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+            for offset in (at, at + sizes[s]):
+                left, u = offset / targets[s] * sum(schedules[s]), 0.0
+                for m in schedules[s]:  # the time at which the integral of the schedule reaches the offset
+                    u += min(left, m) / m / len(schedules[s])
+                    left -= min(left, m)
+                readings.setdefault(i, []).append(u)
+            at += words[i]
+    seen: dict[int, int] = {}
+    got = []
+    for i in out:
+        got.append(readings[i][seen.setdefault(i, 0)])
+        seen[i] += 1
+    assert all(seen[i] == 2 for i in range(100)) and all(a <= b + 2e-9 for a, b in zip(got, got[1:], strict=False))
+
+
 def brute_components(items, linked):
     parent = list(range(len(items)))
 
