@@ -189,7 +189,8 @@ def reduce_to_target(spark, sf_dir):
     from .engine import Reducer
     from .plans.target import collect_target
 
-    lines, _ = collect_target(event_lines(spark, sf_dir), Reducer(spark, Level.STANDARD, Mode.PATTERN), target_rows=8, batch_rows_=2000, max_fetches=3, seed=1)
+    target = _SETTINGS.max_patterns * _SETTINGS.examples_per_pattern
+    lines, _ = collect_target(event_lines(spark, sf_dir), Reducer(spark, Level.STANDARD, Mode.PATTERN), target_rows=target, seed=1)
     return spark.createDataFrame(list(enumerate(lines)), "pos long, line string")
 
 

@@ -3,6 +3,8 @@ from oracle import differences
 
 import __spark_entry__
 from sluice import queries as core
+from sluice.config import Level, Mode
+from sluice.engine import Reducer
 
 
 @pytest.mark.parametrize("name", sorted(core.ORACLE_SQL))
@@ -15,6 +17,13 @@ def test_query_without_sql_has_rows(spark, sf_dir, name):
     assert core.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_reduce_to_target_looks_at_all_events(spark):
+    """10,000 events fit in one batch of the production size."""
+    sf_dir = "/root/testdata/sf0.01"
+    whole = Reducer(spark, Level.STANDARD, Mode.PATTERN).reduce(core.event_lines(spark, sf_dir)).lines()
+    assert {r["line"] for r in core.reduce_to_target(spark, sf_dir).collect()} == set(whole)
+
+
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
