@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-import itertools
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     place = context.getConf().get("spark.checkpoint.dir", None)
     if place is None:
         place = context.getCheckpointDir()
+        if place is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         place = place.rsplit("/", 1)[0] if place else tempfile.mkdtemp(prefix="sluice-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(place)
@@ -43,24 +46,45 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-#: Cuts between two calls of ``release``.
-RELEASE_EVERY = 6
-_cuts = itertools.count(1)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
-    done = df.checkpoint(eager=True)
-    if next(_cuts) % RELEASE_EVERY == 0:
-        release(df.sparkSession)
-    return done
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files, plans and buffers of finished jobs: it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read that: a cut of lineage whose readers take only the columns they need."""
+    path = fresh_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, for stages whose work is not in proportion to their bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
+    """Sorted batches as tables that end where a group, told by the first ``columns``, ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = 0  # of the group that may go on
+        by = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        changes = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in by]))
+        if len(changes):
+            first = int(changes[-1]) + 1
+        last = held[-1] if held else None
+        if last is not None and any(last.column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(columns)):
+            yield pa.Table.from_batches(held)
+            held = []
+        if first:
+            yield pa.Table.from_batches([*held, batch.slice(0, first)])
+            held = []
+        held.append(batch.slice(first))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -1,43 +1,57 @@
 """Near-duplicate documents by bottom-k sketches.
 
 A document's set holds the hashes of its distinct word shingles; its sketch is
-the k least of them, under one hash function.  Documents with equal sets are one class
-and one representative stands for it.  Inverted lists lead from retained values
-to representatives; two that share values are candidates, the sketch of their
-union estimates their similarity, and the full sets decide.
-
-Lists stay bounded in work without losing pairs:
-
-* Of a sketch of s values, two documents at the threshold share at least o
-  (five standard deviations below the mean; exact where sketches hold whole
-  sets).  Among the s - o + 1 rarest values of each there must be a common
-  one, so only those enter the lists.  Frequent passages thus matter only to
-  documents that consist of little else.
-* Only components are asked for, so a list is not expanded into pairs.  In
-  each round it names leaders outside its largest component, which are
-  compared with the members that no earlier edge joins to them; leaders then
-  leave the list.  A list whose members are in one component is done.  The
-  number of leaders grows sixteenfold from round to round, so that a list with
-  members that never join is exhausted in a logarithm of their number, every
-  pair across components compared.
+the k least of them, under one hash function.  Documents with equal sets are one
+class and one representative stands for it.  Inverted lists lead from retained
+values to representatives; members of a list are compared by the overlaps of
+their sketches, the sketch of the union estimates their similarity, and the full
+sets decide.  A sketch that holds the whole set decides at once.
+
+What keeps the lists short, and what may be lost by it:
+
+* Of two similar documents' sketches at least ``least`` values are common, so the
+  ``s - least + 1`` rarest values of each hold a common one, and only those enter
+  the lists.  Frequent passages thus matter only to documents of little else.
+  ``least`` is exact where all similar sets fit into sketches.  Elsewhere it is
+  the tail bound of a draw without replacement (Chernoff, Serfling) at 1e-12 a
+  pair, which is less than what 64-bit hashes of the full sets themselves risk.
+* Lists with equal members are one list.
+
+What keeps the work in a list bounded:
+
+* A list of up to ``BLOCK`` members is compared in one place, and leaves as a
+  spanning forest: the links that whole sketches prove, and of the pairs that
+  need their texts only the most similar ones that would join its parts.
+* A longer list is dealt into blocks, each with the same few pilots, so that a
+  dense group is joined through them without its pairs.
+* Components of these links follow.  Lists that are still apart, and that were
+  dealt or had pairs left, are taken up once more: members outside the largest
+  component of a list are compared with all that are in another one.  No pair
+  within a component is looked at, and none across is left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, ship, text_or_empty
+from .common import partitions, ship, stored, text_or_empty, whole_groups
 from .graph import components
 
 #: Values that a sketch retains.
-K = 48
+K = 128
+#: Members of a list that are compared in one place, and those of a longer list that all its blocks hold.
+BLOCK, PILOTS = 1024, 64
+#: The chance that a similar pair shares fewer values than ``least``.
+RISK = 1e-12
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -65,57 +79,213 @@ def shingle_hashes(text: bytes, size: int = 5) -> np.ndarray:
     return acc[np.append(True, acc[1:] != acc[:-1])]
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, k: int = K, size: int = 5) -> DataFrame:
-    """id, n (shingles), digest (of the set), sketch (its k least values, in order)."""
+@lru_cache(maxsize=1 << 16)
+def least_shared(n: int, k: int, percent: int) -> int:
+    """How many of the k least values of a union are common, for a set of n values and any that is similar to it."""
+    largest = n * 100 // percent  # of the unions that are still similar; the least has n values
+    least = -(-n * percent // 100)
+    if largest <= k:
+        return least
+    t, evidence = percent / 100, -math.log(RISK)
+
+    def safe(found: int) -> bool:
+        x = found / k
+        chernoff = k * ((x * math.log(x / t) if x else 0.0) + (1 - x) * math.log((1 - x) / (1 - t)))
+        return chernoff >= evidence or 2 * (t - x) ** 2 * k / (1 - (k - 1) / largest) >= evidence
+
+    least = min(least, int(k * t))
+    while least > 1 and not safe(least - 1):
+        least -= 1
+    return least
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int, size: int) -> DataFrame:
+    """key (of the row), id, text_hash, n (shingles), least (shared with a similar set), digest (of the set), sketch (its k least values)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digests, values, offsets = [], [], [], [0]
-            for text in batch.column(1).to_pylist():
+            n, least, digests, values, offsets = [], [], [], [], [0]
+            for text in batch.column(3).to_pylist():
                 found = shingle_hashes(text, size)
                 n.append(len(found))
+                least.append(least_shared(len(found), k, percent))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                values.append((found[:k] >> np.uint64(1)).astype(np.int64))
+                values.append(found[:k].view(np.int64))
                 offsets.append(offsets[-1] + len(values[-1]))
             flat = np.concatenate(values) if values else np.empty(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, type=pa.int64()), pa.array(digests, type=pa.binary()), lists], names=["id", "n", "digest", "sketch"])
+            columns = [*batch.columns[:3], pa.array(n, type=pa.int64()), pa.array(least, type=pa.int32()), pa.array(digests, type=pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "text_hash", "n", "least", "digest", "sketch"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    return source.mapInArrow(run, "id long, n long, digest binary, sketch array<long>")
+    text = text_or_empty(text_col)
+    source = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return source.mapInArrow(run, f"key long, id {kind}, text_hash long, n long, least int, digest binary, sketch array<long>")
 
 
-def prefix_length(s: Column, k: int, threshold: float) -> Column:
-    """How many of a sketch's s values, the rarest first, must hold one that a similar sketch shares."""
-    exact = F.ceil(s * threshold)
-    likely = F.greatest(F.lit(1), F.floor(s * threshold - 5 * F.sqrt(s * (threshold * (1 - threshold)))))
-    return s - F.when(s < k * threshold, exact).otherwise(likely) + 1
+def overlaps(flat: np.ndarray, row: np.ndarray, members: int) -> np.ndarray:
+    """How many values each two members have in common; ``row`` has the member of each value of ``flat``."""
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    counts = np.diff(np.append(starts, len(flat)))
+    column = np.repeat(np.arange(len(starts)), counts)
+    common = np.zeros((members, members), dtype=np.float32)
+    few = 32  # pairs of such short columns are counted one by one, longer columns by a product of matrices
+    short = counts[column] <= few
+    r, c = row[short], column[short]
+    cells = []
+    for d in range(1, min(few, members)):
+        same = np.flatnonzero(c[d:] == c[:-d])
+        if not len(same):
+            break
+        cells.append(r[same].astype(np.int64) * members + r[same + d])
+    if cells:
+        once = np.bincount(np.concatenate(cells), minlength=members * members).reshape(members, members).astype(np.float32)
+        common += once + once.T
+    r, c = row[~short], np.unique(column[~short], return_inverse=True)[1]
+    for low in range(0, int(c[-1]) + 1 if len(c) else 0, 2048):
+        here = slice(*np.searchsorted(c, (low, low + 2048)))
+        block = np.zeros((members, min(2048, int(c[-1]) + 1 - low)), dtype=np.float32)
+        block[r[here], c[here] - low] = 1
+        common += block @ block.T
+    return common
+
+
+def estimate_allows(a: np.ndarray, b: np.ndarray, least: int, k: int) -> bool:
+    """Whether the sketch of the union of two sets has ``least`` values or more that are common to both."""
+    both = np.concatenate((a, b))
+    both.sort()
+    twice = both[1:] == both[:-1]
+    place = np.cumsum(np.append(True, ~twice))  # of each value among the distinct ones
+    return int(np.count_nonzero(twice & (place[1:] <= k))) >= least
+
+
+def _labels(linked: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The components of a symmetric matrix of links, on top of those that ``label`` has already."""
+    label = label.copy()
+    while True:
+        low = np.where(linked, label[None, :], len(label)).min(axis=1)
+        low = np.minimum(low, label)
+        step = np.full(len(label), len(label))
+        np.minimum.at(step, label, low)  # a component goes where its least neighbour is
+        new = step[label]
+        while (new[new] < new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
-def most_similar(k: int, threshold: float) -> Column:
-    """The most that the similarity of (sa, na) and (sb, nb) may be: estimate from the union's sketch plus five
-    standard deviations at the threshold, and the ratio of the sizes."""
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    estimate = both / F.size(union) + 5 * F.sqrt(F.lit(threshold * (1 - threshold)) / F.size(union))
-    return F.least(estimate, F.least("na", "nb") / F.greatest("na", "nb"))
+def _tree(score: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of the best spanning forest of ``score`` (-1: none) between components of members."""
+    parts, of = np.unique(label, return_inverse=True)
+    found, waiting = [], np.ones(len(parts), dtype=bool)
+    best, source = np.full(len(score), -1.0), np.zeros(len(score), dtype=np.int64)
+    for first in range(len(parts)):
+        part = first
+        while waiting[part]:
+            waiting[part] = False
+            for member in np.flatnonzero(of == part).tolist():
+                better = score[member] > best
+                best[better], source[better] = score[member][better], member
+            open_ = np.where(waiting[of], best, -1.0)
+            at = int(open_.argmax())
+            if open_[at] < 0:
+                break
+            found.append((int(source[at]), at))
+            part = int(of[at])
+        best[:] = -1.0
+    return found
 
 
-def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+def compared_lists(placed: DataFrame, percent: int, k: int) -> DataFrame:
+    """(list, kind, a, b): what the members of each unit have in common.
+
+    ``placed`` has a row for each member of a unit: list, unit, side, key, comp, n, sketch; members of the same comp are
+    joined already, and in a unit with two sides the pairs across them matter.  kind 0: a link proved by sketches, those of
+    a spanning forest; 1: pairs to be compared in full; 2: the unit has more pairs of this kind (a, b are null).
+    Units of the second turn, where ``turn`` is 2, return all pairs to be compared.
+    """
+
+    def unit(keys, comp, side, n, flat, row, offsets, turn):  # noqa: PLR0917
+        members = len(keys)
+        common = overlaps(flat, row, members)
+        small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+        asked = (comp[:, None] != comp[None, :]) & (small * 100 >= large * percent)
+        if side.any():
+            asked &= side[:, None] != side[None, :]
+        whole = large <= k
+        linked = asked & whole & (common * 100 >= (n[:, None] + n[None, :] - common) * percent)
+        label = np.unique(comp, return_inverse=True)[1]
+        start = np.full(label.max() + 1, members)
+        np.minimum.at(start, label, np.arange(members))
+        label = start[label]
+        joined = _labels(linked, label)
+        sure = []
+        if linked.any():
+            for i in np.unique(label[joined != label]).tolist():  # one edge for each component that joined another
+                sure.append((i, int(joined[i])))
+        least = np.array([least_shared(int(x), k, percent) for x in n])
+        likely = asked & ~whole & (common >= np.minimum(least[:, None], least[None, :])) & (joined[:, None] != joined[None, :])
+        some = int(np.count_nonzero(likely)) // 2
+        pairs, more = [], False
+        if some:
+            if turn == 2:
+                pairs = [(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(likely, 1))), strict=True)]
+            else:
+                sizes = np.diff(offsets).astype(np.float32)
+                score = np.where(likely, common / (sizes[:, None] + sizes[None, :] - common), -1.0)
+                pairs = _tree(score, joined)
+                more = len(pairs) < some
+            part = [flat[offsets[i] : offsets[i + 1]] for i in range(members)]
+            pairs = [(i, j) for i, j in pairs if estimate_allows(part[i], part[j], min(least[i], least[j]), k)]
+        return sure, pairs, more
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 2):
+            lists, units, sides, keys, comps, ns, turns = (table.column(i).to_numpy() for i in (0, 1, 2, 3, 4, 5, 6))
+            sketch = table.column(7).combine_chunks()
+            ends, values = sketch.offsets.to_numpy(), sketch.values.to_numpy()
+            starts = np.flatnonzero(np.append(True, (lists[1:] != lists[:-1]) | (units[1:] != units[:-1])))
+            out: list[tuple] = []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(lists)], strict=True):
+                if b - a < 2:
+                    continue
+                offsets = ends[a : b + 1] - ends[a]
+                row = np.repeat(np.arange(b - a), np.diff(offsets))
+                sure, pairs, more = unit(keys[a:b], comps[a:b], sides[a:b], ns[a:b], values[ends[a] : ends[b]].view(np.uint64), row, offsets, turns[a])
+                name = int(lists[a])
+                out += [(name, kind, *sorted((int(keys[a + i]), int(keys[a + j])))) for kind, found in ((0, sure), (1, pairs)) for i, j in found]
+                if more:
+                    out.append((name, 2, None, None))
+            columns = [pa.array(x, type=t) for x, t in zip(zip(*out, strict=True) if out else ([], [], [], []), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["list", "kind", "a", "b"])
+
+    rows = placed.select("list", "unit", "side", "key", "comp", "n", "turn", "sketch")
+    return rows.repartition(partitions(rows.sparkSession), "list", "unit").sortWithinPartitions("list", "unit").mapInArrow(run, "list long, kind int, a long, b long")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(a, b, both, either): the sizes of the intersection and the union of the full sets."""
-    ta = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = sets.select("key", "id", "text_hash").join(keys, "key", "left_semi").withColumnRenamed("id", "w")
+    text = text_or_empty(text_col)
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+    texts = source.join(wanted, F.col("id").eqNullSafe(F.col("w")) & (source["text_hash"] == wanted["text_hash"])).select("key", "text")
+    texts = stored(texts.dropDuplicates(["key"]), "near-texts")
+    ta, tb = (texts.select(F.col("key").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    rows = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for batch in batches:
             both, either = [], []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if last[0] != a:
-                    last = a, shingle_hashes(ta, size)
-                left, right = last[1], shingle_hashes(tb, size)
+                    last = a, shingle_hashes(ta.as_py(), size)
+                left, right = last[1], shingle_hashes(tb.as_py(), size)
                 both.append(len(np.intersect1d(left, right, assume_unique=True)))
                 either.append(len(left) + len(right) - both[-1])
             counts = [pa.array(x, type=pa.int64()) for x in (both, either)]
@@ -124,81 +294,82 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, both long, either long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5, k: int = K) -> DataFrame:
-    """One row for each row of ``docs``: id, n_shingles, component_id, kept.
+def inverted_lists(reps: DataFrame) -> DataFrame:
+    """(list, size, key): the members of each list of a retained value, one of each set of lists with the same members."""
+    values = reps.select("key", "least", F.explode("sketch").alias("value"))
+    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
+    entries = values.join(shared, "value").groupBy("key", "least").agg(F.array_sort(F.collect_list(F.struct("freq", "value"))).alias("e"))
+    # values of no other document are the rarest of all and take their places among the s - least + 1
+    entries = entries.where(F.size("e") >= F.col("least"))
+    lists = stored(entries.select("key", F.explode(F.slice("e", F.lit(1), F.size("e") - F.col("least") + 1)).alias("x")).select(F.col("x.value").alias("list"), "key"), "near-lists")
+    same = lists.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("key")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("h2"))
+    chosen = same.where("size > 1").groupBy("size", "h1", "h2").agg(F.min("list").alias("list")).select("list", "size")
+    return lists.join(chosen, "list").select("list", "size", "key")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5, k: int = K, block: int = BLOCK, pilots: int = PILOTS) -> DataFrame:
+    """One row for each row of ``docs``: id, n_shingles, component_id, kept, text_hash.
 
     Documents link when 100 * intersection >= percent * union of their full
     shingle sets.  Null and empty texts, and texts without words, have empty
-    sets and link with nothing, so such a row is its own component.  Ids must
-    be unique; rows that repeat an id (nulls among them) share its component
-    when their texts are equal and are otherwise told apart by their sets.
+    sets and link with nothing, so such a row is its own component.  Ids may be
+    of any ordered type; the id of a component is the least of its ids.  Rows
+    that repeat an id are told apart by their texts; a component of null ids
+    only has a null id, and its rows are kept.  ``text_hash`` (xxhash64 of the
+    text, null as empty) leads back to the rows where ids repeat.
     """
-    threshold, spark = percent / 100, docs.sparkSession
-    sets = cut(sketches(docs, id_col, text_col, k, size))
-    classes = cut(sets.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")))
-    reps = sets.join(classes, "digest").where("id = rep").dropDuplicates(["digest"]).select("id", "n", "sketch")
-    reps = cut(reps)
-
-    values = reps.select("id", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
-    shared = cut(values.groupBy("value").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"))
-    entries = values.join(shared, "value").groupBy("id", "n", "s").agg(F.array_sort(F.collect_list(F.struct("freq", "value"))).alias("e"))
-    # values of no other document come first in the order of rarity and take their places in the prefix
-    left = prefix_length(F.col("s"), k, threshold) - (F.col("s") - F.size("e"))
-    entries = entries.withColumn("left", left.cast("int")).where("left > 0")
-    lists = cut(entries.select("id", "n", F.explode(F.slice("e", F.lit(1), F.col("left"))).alias("x")).select("x.value", "id", "n"))
-
-    joined: DataFrame | None = None  # (node, root) of the representatives joined so far
-    texts: DataFrame | None = None
-    tested: DataFrame | None = None
-    leaders = 1
-    while True:
-        now = lists.withColumn("comp", F.col("id"))
-        if joined is not None:
-            now = lists.join(joined, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "id")).drop("node", "root")
-        sizes = now.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("size"))
-        mixed = sizes.groupBy("value").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("size", "comp"))["comp"].alias("main"))
-        mixed = cut(mixed.where("comps > 1").select("value", "main"))
-        if mixed.isEmpty():
-            break
-        now = cut(now.join(mixed, "value"))
-        # once all others have been leaders, only the main component of a list is left
-        first = now.where("comp <> main").groupBy("value", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("turn")).agg(F.min(F.struct("id", "comp", "n")).alias("l"))
-        first = first.select(F.col("value").alias("v"), F.col("l.id").alias("a"), F.col("l.comp").alias("ca"), F.col("l.n").alias("na"))
-        alike = F.least("n", "na") * 100 >= F.greatest("n", "na") * percent  # sizes that allow the threshold
-        pairs = now.join(first, (F.col("value") == F.col("v")) & (F.col("comp") != F.col("ca")) & alike).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        sa = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        sb = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        pairs = pairs.join(sa, "a").join(sb, "b").withColumn("limit", most_similar(k, threshold))
-        pairs = cut(pairs.where(F.col("limit") >= threshold).select("a", "b"))
-        if texts is None:  # of all documents that share a value; later rounds have no others
-            source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-            texts = cut(source.join(now.select(F.col("id").alias("w")).distinct(), F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id"]))
-        edges = cut(compared(pairs, texts, size).where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not edges.isEmpty():
-            if joined is not None:  # between the roots of what is joined already
-                r = joined.select(F.col("node").alias("n"), "root")
-                edges = edges.join(r, F.col("a") == F.col("n"), "left").select(F.coalesce("root", "a").alias("a"), "b")
-                edges = edges.join(r, F.col("b") == F.col("n"), "left").select("a", F.coalesce("root", "b").alias("b"))
-            merged = components(edges)
-            if joined is None:
-                joined = merged
-            else:
-                m = merged.select(F.col("node").alias("n"), F.col("root").alias("r"))
-                old = joined.join(m, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root"))
-                joined = cut(old.unionByName(merged.join(joined, "node", "left_anti")))
-        gone = first.select(F.col("v").alias("value"), F.col("a").alias("id"))
-        lists = cut(now.select("value", "id", "n").join(gone, ["value", "id"], "left_anti"))
-        release(spark)
-        leaders *= 16
-
-    out = sets.select("id", "n", "digest").join(classes, "digest", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id"))
-    out = out.select("id", "n", own.alias("rep"))
-    if joined is not None:
-        out = out.join(joined, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("root", "rep").alias("rep"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), F.coalesce(F.col("id") == F.col("rep"), F.lit(True)).alias("kept"))
+    sets = stored(sketches(docs, id_col, text_col, percent, k, size), "near-sets")
+    classes = stored(sets.where("n > 0").groupBy("digest").agg(F.min("key").alias("rep"), F.min("id").alias("least_id")), "near-classes")
+    reps = sets.join(classes.select("rep"), F.col("key") == F.col("rep"), "left_semi")
+    lists = stored(inverted_lists(reps), "near-members")
+    facts = reps.join(lists.select("key").distinct(), "key", "left_semi").select("key", "n", "sketch")
+
+    def verified(found: DataFrame) -> DataFrame:
+        pairs = found.where("kind = 1").select("a", "b").distinct()
+        links = compared(pairs, sets, docs, id_col, text_col, size).where(F.col("both") * 100 >= F.col("either") * percent)
+        return found.where("kind = 0").select("a", "b").unionByName(links.select("a", "b"))
+
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    hashed = lambda by: F.pmod(F.xxhash64(F.lit("block"), "key"), by).cast("int")
+    pilot = F.pmod(F.xxhash64(F.lit("pilot"), "key"), F.col("size")) < pilots
+    units = F.when(blocks == 1, F.array(F.lit(0))).when(pilot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(hashed(blocks)))
+    placed = lists.select("list", F.explode(units).alias("unit"), "key").join(facts, "key")
+    placed = placed.select("list", F.col("unit").cast("long").alias("unit"), F.lit(0).alias("side"), "key", F.col("key").alias("comp"), F.lit(1).alias("turn"), "n", "sketch")
+    found = stored(compared_lists(placed, percent, k), "near-found")
+    joined = components(verified(found))
+
+    # the second turn: lists that are not settled, members outside the main component with all of others
+    unsettled = found.where("kind = 2").select("list").unionByName(lists.where(F.col("size") > block).select("list")).distinct()
+    now = lists.join(unsettled, "list", "left_semi").join(joined, F.col("key") == F.col("node"), "left").select("list", "key", F.coalesce("root", "key").alias("comp"))
+    now = stored(now, "near-unsettled")
+    shares = now.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("held"))
+    apart = shares.groupBy("list").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("held", "comp")).alias("main"), F.sum("held").alias("size")).where("comps > 1")
+    apart = stored(apart.select("list", F.col("main.comp").alias("main"), F.col("main.held").alias("inside"), (F.col("size") - F.col("main.held")).alias("outside")), "near-apart")
+    if not apart.isEmpty():
+        half = block // 2
+        mains, others = (F.greatest(F.lit(1), F.ceil(F.col(c) / half)).cast("int") for c in ("inside", "outside"))
+        number = lambda kind, i, j: (i.cast("long") * (1 << 30) + j) * 2 + kind
+        pair = lambda kind, i, j, side: F.struct(number(kind, i, j).alias("unit"), side.cast("int").alias("side"))
+        mine = F.when(F.col("comp") == F.col("main"), hashed(F.col("b_main"))).otherwise(hashed(F.col("b_other")))
+        inside = F.transform(F.sequence(F.lit(0), F.col("b_other") - 1), lambda i: pair(0, i, F.col("mine"), F.lit(1)))
+        outside = F.concat(
+            F.transform(F.sequence(F.lit(0), F.col("b_main") - 1), lambda j: pair(0, F.col("mine"), j, F.lit(0))),
+            F.transform(F.sequence(F.lit(0), F.col("b_other") - 1), lambda j: pair(1, F.least("mine", j), F.greatest("mine", j), F.col("mine") > j)),
+        )
+        members = now.join(apart, "list").withColumns({"b_main": mains, "b_other": others}).withColumn("mine", mine)
+        members = members.select("list", "key", "comp", F.explode(F.when(F.col("comp") == F.col("main"), inside).otherwise(outside)).alias("u"))
+        placed = members.select("list", "u.unit", "u.side", "key", "comp", F.lit(2).alias("turn")).join(facts, "key")
+        late = verified(stored(compared_lists(placed, percent, k), "near-late"))
+        for x in "ab":  # between the components that are joined already
+            late = late.join(joined, F.col(x) == F.col("node"), "left").withColumn(x, F.coalesce("root", x)).select("a", "b")
+        merged = components(late).select(F.col("node").alias("m"), F.col("root").alias("r"))
+        old = joined.join(merged, F.col("root") == F.col("m"), "full")
+        joined = old.select(F.coalesce("node", "m").alias("node"), F.coalesce("r", "root").alias("root"))
 
+    named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("digest", "least_id", F.coalesce("root", "rep").alias("root"))
+    least = named.groupBy("root").agg(F.min("least_id").alias("component"))
+    named = named.join(least, "root").select(F.col("digest").alias("d"), "component")
+    out = sets.select("id", "n", "digest", "text_hash").join(named, F.when(F.col("n") > 0, F.col("digest")) == F.col("d"), "left")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash")
+    return out.select(id_col, "n_shingles", "component_id", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "text_hash")
