@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 import zipfile
@@ -94,6 +95,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """Column names that ``df`` does not have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    return list(itertools.islice((name for i in itertools.count() if (name := f"own_{i}") not in taken), n))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  ``lower`` does just that on pure ASCII, and fast; other texts are translated."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
