@@ -27,7 +27,8 @@ What keeps the work in a list bounded:
 * Components of these links follow.  Lists that are still apart, and that were
   dealt or had pairs left, are taken up once more: members outside the largest
   component of a list are compared with all that are in another one.  No pair
-  within a component is looked at, and none across is left out.
+  within a component is looked at, and none across is left out.  Their documents
+  get longer sketches, so that nearly all of these pairs are decided in place too.
 """
 
 from __future__ import annotations
@@ -48,8 +49,10 @@ from .graph import components
 
 #: Values that a sketch retains.
 K = 128
+#: Values of the longer sketches that the second turn takes of its few documents.
+LONG_K = 1024
 #: Members of a list that are compared in one place, and those of a longer list that all its blocks hold.
-BLOCK, PILOTS = 1024, 64
+BLOCK, PILOTS = 512, 32
 #: The chance that a similar pair shares fewer values than ``least``.
 RISK = 1e-12
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -267,14 +270,17 @@ def compared_lists(placed: DataFrame, percent: int, k: int) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "list", "unit").sortWithinPartitions("list", "unit").mapInArrow(run, "list long, kind int, a long, b long")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(a, b, both, either): the sizes of the intersection and the union of the full sets."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = sets.select("key", "id", "text_hash").join(keys, "key", "left_semi").withColumnRenamed("id", "w")
+def texts_of(keys: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, text) of the rows in ``keys``, once each."""
+    wanted = sets.select("key", "id", "text_hash").join(keys.select("key").distinct(), "key", "left_semi").withColumnRenamed("id", "w")
     text = text_or_empty(text_col)
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
     texts = source.join(wanted, F.col("id").eqNullSafe(F.col("w")) & (source["text_hash"] == wanted["text_hash"])).select("key", "text")
-    texts = stored(texts.dropDuplicates(["key"]), "near-texts")
+    return texts.dropDuplicates(["key"])
+
+
+def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(a, b, both, either): the sizes of the intersection and the union of the full sets."""
     ta, tb = (texts.select(F.col("key").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
     rows = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
 
@@ -294,6 +300,18 @@ def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, te
     return rows.mapInArrow(run, "a long, b long, both long, either long")
 
 
+def longer_sketches(texts: DataFrame, k: int, size: int) -> DataFrame:
+    """key, n, sketch (the k least values of the set) of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(text.as_py(), size) for text in batch.column(1)]
+            sketch = pa.array([x[:k].view(np.int64) for x in sets], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], type=pa.int64()), sketch], names=["key", "n", "sketch"])
+
+    return texts.mapInArrow(run, "key long, n long, sketch array<long>")
+
+
 def inverted_lists(reps: DataFrame) -> DataFrame:
     """(list, size, key): the members of each list of a retained value, one of each set of lists with the same members."""
     values = reps.select("key", "least", F.explode("sketch").alias("value"))
@@ -307,7 +325,7 @@ def inverted_lists(reps: DataFrame) -> DataFrame:
     return lists.join(chosen, "list").select("list", "size", "key")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5, k: int = K, block: int = BLOCK, pilots: int = PILOTS) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5, k: int = K, long_k: int = LONG_K, block: int = BLOCK, pilots: int = PILOTS) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id, kept, text_hash.
 
     Documents link when 100 * intersection >= percent * union of their full
@@ -326,7 +344,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def verified(found: DataFrame) -> DataFrame:
         pairs = found.where("kind = 1").select("a", "b").distinct()
-        links = compared(pairs, sets, docs, id_col, text_col, size).where(F.col("both") * 100 >= F.col("either") * percent)
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+        texts = stored(texts_of(keys, sets, docs, id_col, text_col), "near-texts")
+        links = compared(pairs, texts, size).where(F.col("both") * 100 >= F.col("either") * percent)
         return found.where("kind = 0").select("a", "b").unionByName(links.select("a", "b"))
 
     blocks = F.ceil(F.col("size") / block).cast("int")
@@ -358,8 +378,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         members = now.join(apart, "list").withColumns({"b_main": mains, "b_other": others}).withColumn("mine", mine)
         members = members.select("list", "key", "comp", F.explode(F.when(F.col("comp") == F.col("main"), inside).otherwise(outside)).alias("u"))
-        placed = members.select("list", "u.unit", "u.side", "key", "comp", F.lit(2).alias("turn")).join(facts, "key")
-        late = verified(stored(compared_lists(placed, percent, k), "near-late"))
+        longer = stored(longer_sketches(texts_of(now.join(apart.select("list"), "list", "left_semi"), sets, docs, id_col, text_col), long_k, size), "near-longer")
+        placed = members.select("list", "u.unit", "u.side", "key", "comp", F.lit(2).alias("turn")).join(longer, "key")
+        late = verified(stored(compared_lists(placed, percent, long_k), "near-late"))
         for x in "ab":  # between the components that are joined already
             late = late.join(joined, F.col(x) == F.col("node"), "left").withColumn(x, F.coalesce("root", x)).select("a", "b")
         merged = components(late).select(F.col("node").alias("m"), F.col("root").alias("r"))
