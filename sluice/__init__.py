@@ -2,8 +2,8 @@
 
 from .config import Level, Mode, OutputFormat, Settings, preset
 from .engine import Reducer, Reduction
-from .errors import KafkaReadError, SamplingNotSupported
+from .errors import SamplingNotSupported, SourceError
 from .plans.target import collect_target
 
 __version__ = "0.1.0"
-__all__ = ["KafkaReadError", "Level", "Mode", "OutputFormat", "Reducer", "Reduction", "SamplingNotSupported", "Settings", "collect_target", "preset", "__version__"]
+__all__ = ["Level", "Mode", "OutputFormat", "Reducer", "Reduction", "SamplingNotSupported", "Settings", "SourceError", "collect_target", "preset", "__version__"]

@@ -75,12 +75,13 @@ def near_dedup(lines: DataFrame, threshold: float) -> DataFrame:
     open_ = cut(buckets.join(shared, "bucket", "left_semi"))
     gone: DataFrame | None = None
     while not open_.isEmpty():
-        heads = cut(open_.groupBy("bucket").agg(F.min("line_no").alias("head")))
+        heads = open_.groupBy("bucket").agg(F.min("line_no").alias("head"))
         marked = cut(open_.join(heads, "bucket"))
-        kept = cut(marked.groupBy("line_no").agg(F.min((F.col("line_no") == F.col("head")).cast("int")).alias("first")).where("first = 1").select("line_no"))
-        taken = marked.join(kept, "line_no", "left_semi").select("bucket").distinct()
-        dropped = cut(marked.join(taken, "bucket", "left_semi").join(kept, "line_no", "left_anti").select("line_no").distinct())
+        kept = marked.groupBy("line_no").agg(F.bool_and(F.col("line_no") == F.col("head")).alias("stays")).where("stays").select(F.col("line_no").alias("kept"))
+        # the head of a bucket that stays takes all the others of it along
+        of_kept = marked.join(kept, F.col("head") == F.col("kept"), "left")
+        decided = cut(of_kept.groupBy("line_no").agg(F.bool_or((F.col("kept") != F.col("line_no")) & F.col("kept").isNotNull()).alias("goes"), F.bool_and(F.col("line_no") == F.col("head")).alias("stays")).where("goes OR stays").select("line_no", "goes"))
+        dropped = decided.where("goes").select("line_no")
         gone = dropped if gone is None else gone.unionByName(dropped)
-        decided = kept.unionByName(dropped)
         open_ = cut(open_.join(decided, "line_no", "left_anti"))
     return lines if gone is None else lines.join(gone, "line_no", "left_anti")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import zipfile
 from collections import OrderedDict
 from collections.abc import Iterator
+from operator import eq
 from pathlib import Path
 from tempfile import mkdtemp
 
@@ -47,21 +48,24 @@ class Miner:
 
     def __init__(self, similarity: float, most: int | None = None):
         self.similarity, self.most = similarity, most
-        self.clusters: OrderedDict[int, list[str]] = OrderedDict()
+        #: template tokens and the number of wildcards among them, the least recently used cluster first
+        self.clusters: OrderedDict[int, tuple[list[str], int]] = OrderedDict()
 
     def add(self, key: int, tokens: list[str]) -> int:
         """The cluster that ``tokens`` joins; ``key`` names it if it is new."""
-        best, rank = None, (-1.0, -1)
-        for name, template in self.clusters.items():
-            equal = sum(a == b for a, b in zip(template, tokens, strict=True) if a != "<*>")
-            here = (equal / max(1, len(tokens)), sum(a == "<*>" for a in template))
-            if here > rank:
-                best, rank = name, here
-        if best is not None and (rank[0] >= self.similarity or not tokens):
-            self.clusters[best] = [a if a == b else "<*>" for a, b in zip(self.clusters[best], tokens, strict=True)]
+        own = [t if t != "<*>" else None for t in tokens] if "<*>" in tokens else tokens  # a wildcard equals nothing
+        best, most, fewest = None, -1, -1
+        for name, (template, wild) in self.clusters.items():
+            equal = sum(map(eq, template, own))
+            if equal > most or equal == most and wild > fewest:
+                best, most, fewest = name, equal, wild
+        if best is not None and (most / max(1, len(tokens)) >= self.similarity or not tokens):
+            if most + fewest < len(tokens):
+                merged = [a if a == b else "<*>" for a, b in zip(self.clusters[best][0], tokens, strict=True)]
+                self.clusters[best] = merged, merged.count("<*>")
             self.clusters.move_to_end(best)
             return best
-        self.clusters[key] = list(tokens)
+        self.clusters[key] = list(tokens), tokens.count("<*>")
         if self.most and len(self.clusters) > self.most:
             self.clusters.popitem(last=False)
         return key
@@ -81,7 +85,7 @@ def drain_miner(lines: DataFrame, similarity: float = 0.4, max_clusters: int | N
     tokens = words(F.col("seen"))
     first = F.element_at(tokens, 1)
     lead = F.when((F.size(tokens) > 0) & ~first.rlike("[0-9]") & F.lit(split_leading), first).otherwise("<*>")
-    rows = lines.withColumn("seen", seen).select("line_no", "line", F.trim("seen").alias("template"), F.xxhash64(F.size(tokens), lead, *([F.col(by)] if by else [])).alias("grp"))
+    rows = lines.withColumn("seen", seen).select("line_no", "line", F.trim("seen").alias("template"), F.md5(F.concat_ws(" ", F.size(tokens).cast("string"), lead, *([F.lit("by"), F.col(by).cast("string")] if by else []))).alias("grp"))
     rows = rows.repartition("grp").sortWithinPartitions("grp", "line_no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

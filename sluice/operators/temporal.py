@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions.text import level_of, strip, timestamp_of
+from .templates import drain_miner
 
 
 def parse_lines(lines: DataFrame, year: int | None = None) -> DataFrame:
@@ -34,3 +36,23 @@ def hourly(parsed: DataFrame) -> DataFrame:
 
 def levels(parsed: DataFrame) -> DataFrame:
     return parsed.where("ts IS NOT NULL AND level IS NOT NULL").groupBy("level").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def window_templates(parsed: DataFrame, minutes: int = 60, similarity: float = 0.4) -> DataFrame:
+    """window_key, cluster, template, lines, example: the templates mined in each window apart, and those of timeless lines (no window_key).
+
+    The template is that of the cluster's first line, which is also its example.  A line without a time is in one group of
+    its own kind; windows are mined in parallel.
+    """
+    timed = windows(parsed, minutes).select("line_no", "line", "window_key")
+    rest = parsed.where("ts IS NULL").select("line_no", "line", F.lit(None).cast("long").alias("window_key"))
+    both = timed.unionByName(rest)
+    mined = drain_miner(both, similarity, by="window_key").join(both.select("line_no", "window_key"), "line_no")
+    counted = mined.groupBy("window_key", "cluster").agg(F.min_by("template", "line_no").alias("template"), F.count(F.lit(1)).alias("lines"), F.min_by("line", "line_no").alias("example"))
+    return counted.select("window_key", "cluster", "template", "lines", "example")
+
+
+def temporal_summary(parsed: DataFrame, minutes: int = 60, similarity: float = 0.4) -> dict[str, DataFrame]:
+    """What lines say over time: templates by window, timeless templates, and the distributions by hour and level."""
+    mined = cut(window_templates(parsed, minutes, similarity))
+    return {"windows": mined.where("window_key IS NOT NULL"), "timeless": mined.where("window_key IS NULL").drop("window_key"), "hourly": hourly(parsed), "levels": levels(parsed)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.sampling import batch_rows
+from ..operators.sampling import row_budget
 
 
 def collect_target(source: DataFrame, reducer, *, target_rows: int, max_fetches: int = 50, max_batch_memory_gb: float | None = None, batch_rows_: int | None = None, plateau_rounds: int = 2, seed: int | None = None) -> tuple[list[str], dict]:
@@ -25,8 +25,8 @@ def collect_target(source: DataFrame, reducer, *, target_rows: int, max_fetches:
     found: dict[str, None] = {}
     rows = batch_rows_
     if rows is None:
-        average = source.agg(F.avg(F.octet_length("line"))).first()[0]
-        rows = batch_rows(average, int((max_batch_memory_gb or reducer.settings.max_memory_gb) * 2**30))
+        budget = int((max_batch_memory_gb or reducer.settings.max_memory_gb) * 2**30)
+        rows = source.agg(row_budget(F.avg(F.octet_length("line")), budget)).first()[0]
     reason, fetches, idle = "max_fetches", 0, 0
     while fetches < max_fetches:
         order = F.rand() if seed is None else F.xxhash64(F.lit(seed + fetches), "line_no")

@@ -89,6 +89,37 @@ def typed_masking(spark, sf_dir):
     return event_lines(spark, sf_dir).select("line_no", T.mask_types(F.col("line")).alias("masked"))
 
 
+def shape_masking(spark, sf_dir):
+    """Lines with a value of each typed shape."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("h", F.md5(F.col("event_id").cast("string")))
+    part = lambda *widths: [F.substring("h", 1 + sum(widths[:i]), w) for i, w in enumerate(widths)]
+    n = F.col("event_id")
+    ip = F.concat_ws(".", F.lit("10"), *((n * k % 256).cast("string") for k in (1, 7, 13)))
+    uuid, mac, ipv6 = F.concat_ws("-", *part(8, 4, 4, 4, 12)), F.concat_ws(":", *part(2, 2, 2, 2, 2, 2)), F.concat_ws(":", *part(4, 4, 4, 4, 4, 4, 4, 4))
+    line = F.concat_ws(" ", F.lit("peer"), ip, F.lit("session"), uuid, F.lit("card"), mac, F.lit("addr"), ipv6, F.lit("at"), F.concat(F.lit("0x"), "h"), F.lit("seq"), n.cast("string"))
+    return e.select(n.alias("line_no"), T.mask_types(line).alias("masked"))
+
+
+def _times(spark, sf_dir, line, year=None):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("line_no"), line.alias("line"))
+    return temporal.parse_lines(e, year).select("line_no", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts_text"))
+
+
+def common_log_times(spark, sf_dir):
+    return _times(spark, sf_dir, F.concat(F.lit("10.0.0.1 - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET / HTTP/1.0" 200')))
+
+
+def syslog_times(spark, sf_dir):
+    """Times without a year, some with two spaces before the day or behind it."""
+    day, gap = F.lpad(F.dayofmonth("ts").cast("string"), 2, " "), F.when(F.col("event_id") % 3 == 0, "  ").otherwise(" ")
+    return _times(spark, sf_dir, F.concat(F.date_format("ts", "MMM"), F.lit(" "), day, gap, F.date_format("ts", "HH:mm:ss"), F.lit(" host daemon[1]: ready")), 2024)
+
+
+def window_templates(spark, sf_dir):
+    """Templates mined in each hour apart."""
+    return temporal.window_templates(temporal.parse_lines(event_lines(spark, sf_dir)), 60, _SETTINGS.drain_similarity)
+
+
 def _mined(spark, sf_dir):
     return templates.mask_miner(L.exact_dedup(event_lines(spark, sf_dir)))
 
@@ -133,9 +164,8 @@ def reservoir_bottom_k(spark, sf_dir):
 
 
 def batch_size_estimate(spark, sf_dir):
-    average = event_lines(spark, sf_dir).agg(F.avg(F.octet_length("line")).alias("avg_bytes"))
-    rows = F.floor(F.lit(100 * 2**20) / F.greatest(F.lit(1.0), F.col("avg_bytes") * 3))
-    return average.select(F.round("avg_bytes", 6).alias("avg_bytes"), F.greatest(F.lit(1000), F.least(F.lit(1000000), rows - rows % 1000)).cast("long").alias("batch_rows"))
+    average = F.avg(F.octet_length("line"))
+    return event_lines(spark, sf_dir).agg(F.round(average, 6).alias("avg_bytes"), sampling.row_budget(average, 100 * 2**20).alias("batch_rows"))
 
 
 def reduction_stats(spark, sf_dir):
@@ -198,7 +228,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_lines, exact_dedup_keep_first, dedup_stats, line_levels, line_timestamps, temporal_windows, temporal_mode, hourly_distribution, level_distribution,
-        typed_masking, template_counts, occurrence_filter, priority_topk, pattern_examples, pattern_mode, severity_scores, word_counts, hash_sample, reservoir_bottom_k,
+        typed_masking, shape_masking, common_log_times, syslog_times, window_templates, template_counts, occurrence_filter, priority_topk, pattern_examples, pattern_mode, severity_scores, word_counts, hash_sample, reservoir_bottom_k,
         batch_size_estimate, reduction_stats, jsonl_encode, union_distinct, first_column_lines, template_window_counts, drain_patterns, near_dedup, anomaly_mode, hybrid_mode, reduce_to_target,
     )
 }
@@ -219,6 +249,9 @@ ORACLE_SQL = {
     "hourly_distribution": f"WITH {PARSED} SELECT hour(ts)::INTEGER AS hour, count(*) AS lines FROM parsed WHERE ts IS NOT NULL GROUP BY 1",
     "level_distribution": f"WITH {PARSED} SELECT level, count(*) AS lines FROM parsed WHERE ts IS NOT NULL AND level IS NOT NULL GROUP BY 1",
     "typed_masking": f"WITH {EVENTS} SELECT line_no, regexp_replace(regexp_replace(line, '-([0-9])', '-\\1', 'g'), '[0-9]+', '<NUM>', 'g') AS masked FROM lines",
+    "shape_masking": "SELECT event_id AS line_no, 'peer <IP> session <UUID> card <MAC> addr <IPV6> at <HEX> seq <NUM>' AS masked FROM events",
+    "common_log_times": "SELECT event_id AS line_no, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_text FROM events",
+    "syslog_times": "SELECT event_id AS line_no, '2024' || strftime(ts, '-%m-%d %H:%M:%S') AS ts_text FROM events",
     "template_counts": f"WITH {COUNTED} SELECT cluster, template, count FROM counted",
     "occurrence_filter": f"WITH {COUNTED} SELECT cluster, template, count FROM counted WHERE count >= 1000",
     "priority_topk": f"WITH {RANKED} SELECT cluster, template, count, round(priority, 6) AS priority, rank FROM ranked",

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .readers import KAFKA_WRITE, kafka_settings
+from .readers import kafka_client
 
 
 def as_jsonl(lines: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ class KafkaSink:
     """Messages of a topic, with one fixed key or none."""
 
     def __init__(self, config: str | dict, topic: str, key: str | None = None, verify_ssl: bool = True):
-        self.options = {f"kafka.{k}": str(v) for k, v in kafka_settings(config, KAFKA_WRITE, verify_ssl).items()} | {"topic": topic}
+        self.options = {"kafka.compression.type": "lz4"} | kafka_client(config, verify_ssl) | {"topic": topic}
         self.key = key
 
     def write(self, lines: DataFrame) -> int:

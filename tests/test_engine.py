@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from sluice import Reducer, Settings, collect_target
+from sluice import Reducer, Settings, SourceError, collect_target
 from sluice.cli import main
 from sluice.operators import lines as L
 from sluice.sources import readers
@@ -73,11 +73,25 @@ def test_connector_options():
     assert o["url"] == "jdbc:postgresql://h/db" and o["sessionInitStatement"].startswith("SELECT setseed") and "random() < 0.5" in o["query"]
     k = readers.kafka_options("b:9092", ["x", "y"], "g", verify_ssl=False)
     assert k["subscribe"] == "x,y" and k["kafka.bootstrap.servers"] == "b:9092" and k["startingOffsets"] == "earliest" and k["endingOffsets"] == "latest"
-    assert readers.mask_credentials({"sasl.password": "p", "acks": "all"}) == {"sasl.password": "***", "acks": "all"}
+    assert readers.mask_credentials({"sasl.password": "p", "ssl.key.password": "", "acks": "all"}) == {"sasl.password": "***", "ssl.key.password": "", "acks": "all"}
+    assert readers.kafka_options("b", "x", assignment_timeout=1)["kafka.default.api.timeout.ms"] == "1000"
     assert readers.clickhouse_query("SELECT a FROM t", 0.1) == "SELECT a FROM t SAMPLE 0.1"
-    assert readers.clickhouse_table_query("t`x", "c", 0.1, "a > 1") == "SELECT `c` FROM `t``x` SAMPLE 0.1 WHERE a > 1"
-    with pytest.raises(ValueError):
-        readers.clickhouse_query("SELECT a FROM t WHERE b", 0.1)
+    assert readers.clickhouse_query("SELECT 'limit' AS a FROM (SELECT 1 LIMIT 2)", 0.1).endswith("SAMPLE 0.1")
+    assert readers.clickhouse_query("SELECT a FROM t WHERE b = {x:String}", None, {"x": "it's"}, {"max_threads": 2}) == "SELECT a FROM t WHERE b = CAST('it\\'s' AS String) SETTINGS max_threads = 2"
+    for bad in (lambda: readers.clickhouse_query("SELECT a FROM t WHERE b", 0.1), lambda: readers.clickhouse_query("SELECT 1", parameters={"x": 1}), lambda: readers.jdbc_options("mysql://h/d", "q", params={"a": 1})):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_database_urls():
+    assert readers.jdbc_target("postgresql+psycopg://me:p%40ss@host:5432/db") == {"url": "jdbc:postgresql://host:5432/db", "user": "me", "password": "p@ss"}
+    assert readers.jdbc_target("sqlite:////tmp/x.db") == {"url": "jdbc:sqlite:/tmp/x.db"} and readers.jdbc_target("sqlite:///x.db") == {"url": "jdbc:sqlite:x.db"}
+    assert readers.jdbc_target("jdbc:mysql://h/d") == {"url": "jdbc:mysql://h/d"}
+
+
+def test_kafka_errors_name_the_source(spark):
+    with pytest.raises(SourceError, match="x,y"):
+        readers.read_kafka(spark, "localhost:1", "g", ["x", "y"], assignment_timeout=1)
 
 
 @pytest.mark.parametrize("args", [{"dsn": "kafka://b"}, {"dsn": "kafka://b", "topic": "t", "group": "g", "sample": 0.1}, {"dsn": "clickhouse://h"}, {"dsn": "postgresql://h"}])

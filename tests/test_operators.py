@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from sluice.config import Settings
 from sluice.errors import SamplingNotSupported
 from sluice.functions import text as T
 from sluice.operators import anomaly, lines as L, patterns, sampling, templates, temporal
+from sluice.sources import dialects
 
 
 def rows(df, *names):
@@ -43,7 +45,7 @@ def test_typed_masks(spark, line, masked):
 
 
 def test_times_and_levels(spark):
-    lines = L.from_list(spark, ["2024-02-30 00:00:00 error x", "2024-01-02T03:04:05 INFO y", '1.2.3.4 [10/Oct/2000:13:55:36] "GET"', "Jan  5 01:02:03 host WARNING", "none"])
+    lines = L.from_list(spark, ["2024-02-30 00:00:00 error x", "2024-01-02T03:04:05 INFO y", '1.2.3.4 [10/Oct/2000:13:55:36] "GET"', "Jan  5  01:02:03 host WARNING", "none"])
     parsed = temporal.parse_lines(lines, 2023).orderBy("line_no").collect()
     assert [str(r["ts"]) if r["ts"] else None for r in parsed] == [None, "2024-01-02 03:04:05", "2000-10-10 13:55:36", "2023-01-05 01:02:03", None]
     assert [r["level"] for r in parsed] == ["ERROR", "INFO", None, None, None]
@@ -125,19 +127,94 @@ def test_samples(spark):
 
 
 def test_sample_sql():
-    assert sampling.sample_sql("postgresql", "SELECT 1", 0.5, 7) == ("SELECT setseed(-0.999993)", "SELECT * FROM (SELECT 1) AS _sample WHERE random() < 0.5")
-    assert sampling.sample_sql("mysql", "q", 0.5, 7)[1].endswith("rand(7) < 0.5")
-    assert sampling.table_sample_sql("postgresql", "t", "c", fraction=0.1, seed=3, method="bernoulli", where="x") == "SELECT c FROM t TABLESAMPLE BERNOULLI (10.0) REPEATABLE (3) WHERE x"
-    for call in (lambda: sampling.sample_sql("sqlite", "q", 0.5, 1), lambda: sampling.sample_sql("oracle", "q", 0.5), lambda: sampling.batch_sql("oracle", "q", 1)):
+    assert dialects.sampled_query("postgresql", "SELECT 1", 0.5) == (None, "SELECT * FROM (SELECT 1) AS sampled WHERE random() < 0.5")
+    prepare, _ = dialects.sampled_query("postgresql", "SELECT 1", 0.5, 7)
+    assert -1 <= float(prepare.removeprefix("SELECT setseed(").removesuffix(")")) <= 1
+    assert dialects.sampled_query("mysql", "q", 0.5, 7)[1].endswith("rand(7) < 0.5") and dialects.sampled_query("sqlite", "q", 0.5)[1].endswith("< 1073741824")
+    assert dialects.sampled_table("postgresql", "s.t", "c", 0.1, 3, "bernoulli", "x") == 'SELECT "c" FROM "s"."t" TABLESAMPLE BERNOULLI (10.0) REPEATABLE (3) WHERE (x)'
+    assert dialects.sampled_table("mariadb", "t`x", "c", 0.1, where="x") == "SELECT `c` FROM `t``x` WHERE (x) AND rand() < 0.1"
+    assert dialects.sampled_table("clickhouse", "t`x", "c", 0.1, where="a > 1") == "SELECT `c` FROM `t``x` SAMPLE 0.1 WHERE (a > 1)"
+    assert dialects.random_batch("sqlite", "q", 5).endswith("ORDER BY random() LIMIT 5")
+    for call in (lambda: dialects.sampled_query("sqlite", "q", 0.5, 1), lambda: dialects.sampled_query("oracle", "q", 0.5), lambda: dialects.random_batch("oracle", "q", 1), lambda: dialects.sampled_table("clickhouse", "t", "c", 0.1, 1)):
         with pytest.raises(SamplingNotSupported):
             call()
-    for call in (lambda: sampling.sample_sql("mysql", "q", 0), lambda: sampling.batch_sql("mysql", "q", 0), lambda: sampling.table_sample_sql("postgresql", "t", "c", fraction=0.1, method="x")):
+    for call in (lambda: dialects.sampled_query("mysql", "q", 0), lambda: dialects.random_batch("mysql", "q", 0), lambda: dialects.sampled_table("postgresql", "t", "c", 0.1, method="x")):
         with pytest.raises(ValueError):
             call()
 
 
-def test_batch_rows():
-    assert sampling.batch_rows(None, 100) == 1000 and sampling.batch_rows(100, 3_000_000) == 10_000 and sampling.batch_rows(1, 2**60) == 1_000_000
+def test_row_budget(spark):
+    got = lambda average, budget: spark.range(1).select(sampling.row_budget(F.lit(average).cast("double"), budget)).first()[0]
+    assert got(None, 100) == 1000 and got(100, 3_000_000) == 10_000 and got(1, 2**60) == 1_000_000 and got(100, 0) == 1000
+
+
+def test_window_templates_are_mined_apart(spark):
+    text = [f"2024-01-01 {h:02d}:00:0{i} INFO job {i} done" for h in (1, 2) for i in range(4)] + [f"job {i} done" for i in range(3)]
+    parsed = temporal.parse_lines(L.from_list(spark, text))
+    got = {(r["window_key"] is None, r["cluster"]): (r["lines"], r["example"]) for r in temporal.window_templates(parsed, 60, 0.5).collect()}
+    assert got == {(False, 0): (4, text[0]), (False, 4): (4, text[4]), (True, 8): (3, text[8])}
+    summary = temporal.temporal_summary(parsed, 60, 0.5)
+    assert summary["timeless"].first()["lines"] == 3 and summary["hourly"].count() == 2 and summary["levels"].first()["lines"] == 8
+
+
+def test_window_templates_equal_serial_passes(spark):
+    rng = random.Random(4)
+    text = [f"2024-01-01 0{rng.randrange(3)}:00:00 {rng.choice('ab')} {rng.choice('xyz')} {rng.randrange(5)} end" for _ in range(120)]
+    parsed = temporal.parse_lines(L.from_list(spark, text))
+    miners, clusters = {}, {}
+    for i, line in enumerate(text):
+        tokens = line.split()
+        name = miners.setdefault(line[:13], templates.Miner(0.5)).add(i, tokens)
+        clusters[name] = clusters.get(name, 0) + 1
+    assert {r["cluster"]: r["lines"] for r in temporal.window_templates(parsed, 60, 0.5).collect()} == clusters
+
+
+def plain_scores(text):
+    """TF-IDF and the unfamiliar share of each line, term by term."""
+    df, tf = {}, {}
+    for line in text:
+        terms = anomaly.terms_of(line)
+        for t in set(terms):
+            df[t] = df.get(t, 0) + 1
+        for t in terms:
+            tf[t] = tf.get(t, 0) + 1
+    total = len(text)
+    common = {t for t in df if df[t] > 0.9 * total}
+    rest = sorted((t for t in df if t not in common and df[t] >= (2 if total > 100 else 1)), key=lambda t: -tf[t])
+    most = max(1, min(1000, total // 10))
+    kept = {t for t in rest[:most] if len(rest) <= most or tf[t] > tf[rest[most]]}
+    out = []
+    for line in text:
+        terms = anomaly.terms_of(line)
+        weights = {t: terms.count(t) * (math.log((1 + total) / (1 + df[t])) + 1) for t in set(terms) & kept}
+        norm = math.sqrt(sum(w * w for w in weights.values())) or 1
+        out.append(({t: w / norm for t, w in weights.items()}, sum(t not in kept and t not in common for t in terms) / len(terms)))
+    return kept, common, out
+
+
+def test_vectors_equal_plain_tf_idf(spark):
+    rng = random.Random(6)
+    text = [" ".join(rng.choices(["disk", "full", "user", "login", "10", "retry"], k=rng.randrange(2, 7))) + " end" for _ in range(150)]
+    kept, common, plain = plain_scores(text)
+    found, known = anomaly.vocabulary(L.from_list(spark, text), len(text))
+    assert {t for t, _ in found} == kept and set(known) == common
+    names = [t for t, _ in found]
+    got = anomaly.vectors(text, {t: (i, idf) for i, (t, idf) in enumerate(found)}, frozenset(known))
+    for row, (weights, strange) in zip(got, plain, strict=True):
+        assert all(abs(row[i] - weights.get(t, 0)) < 1e-5 for i, t in enumerate(names)) and abs(row[-1] - strange) < 1e-6
+
+
+def test_depths_equal_a_walk(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.random((300, 4)).astype(np.float32)
+    tree = anomaly.grow(x, rng)
+
+    def walk(node, row):
+        return node[0] if len(node) == 1 else walk(node[2] if row[node[0]] <= node[1] else node[3], row)
+
+    assert anomaly.depths(tree, x).tolist() == [walk(tree, row) for row in x]
 
 
 def test_settings_from_env(monkeypatch):
