@@ -60,6 +60,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df``, a stored table of a few narrow columns, to be broadcast if it has no more than ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, for stages whose work is not in proportion to their bytes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -21,12 +21,13 @@ What keeps the work in a list bounded:
 
 * A list of up to ``BLOCK`` members is compared in one place, and leaves as a
   spanning forest: the links that whole sketches prove, and of the pairs that
-  need their texts only the most similar ones that would join its parts.
+  need their texts only the most similar ones that would join its parts.  Members
+  of pairs beyond these are named.
 * A longer list is dealt into blocks, each with the same few pilots, so that a
   dense group is joined through them without its pairs.
-* Components of these links follow.  Lists that are still apart, and that were
-  dealt or had pairs left, are taken up once more: members outside the largest
-  component of a list are compared with all that are in another one.  No pair
+* Components of these links follow.  Where named members, or those of a dealt
+  list, are still apart, the list is taken up once more: members outside its
+  largest component are compared with all that are in another one.  No pair
   within a component is looked at, and none across is left out.  Their documents
   get longer sketches, so that nearly all of these pairs are decided in place too.
 """
@@ -44,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, ship, stored, text_or_empty, whole_groups
+from .common import broadcast_if_small, partitions, ship, stored, text_or_empty, whole_groups
 from .graph import components
 
 #: Values that a sketch retains.
@@ -52,7 +53,7 @@ K = 128
 #: Values of the longer sketches that the second turn takes of its few documents.
 LONG_K = 1024
 #: Members of a list that are compared in one place, and those of a longer list that all its blocks hold.
-BLOCK, PILOTS = 512, 32
+BLOCK, PILOTS = 1024, 32
 #: The chance that a similar pair shares fewer values than ``least``.
 RISK = 1e-12
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -127,32 +128,41 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int,
     return source.mapInArrow(run, f"key long, id {kind}, text_hash long, n long, least int, digest binary, sketch array<long>")
 
 
-def overlaps(flat: np.ndarray, row: np.ndarray, members: int) -> np.ndarray:
-    """How many values each two members have in common; ``row`` has the member of each value of ``flat``."""
+def overlaps(flat: np.ndarray, row: np.ndarray, members: int, split: int = 0) -> np.ndarray:
+    """How many values each two members have in common; ``row``, in order, has the member of each value of ``flat``.
+
+    With ``split``, of each member before it with each member from it on.
+    """
     order = np.argsort(flat, kind="stable")
-    flat, row = flat[order], row[order]
-    starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-    counts = np.diff(np.append(starts, len(flat)))
-    column = np.repeat(np.arange(len(starts)), counts)
-    common = np.zeros((members, members), dtype=np.float32)
+    flat, row = flat[order], row[order].astype(np.int32)
+    new = np.append(True, flat[1:] != flat[:-1])
+    counts = np.diff(np.append(np.flatnonzero(new), len(flat)))
+    column = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    shape = (split, members - split) if split else (members, members)
     few = 32  # pairs of such short columns are counted one by one, longer columns by a product of matrices
     short = counts[column] <= few
     r, c = row[short], column[short]
     cells = []
-    for d in range(1, min(few, members)):
+    for d in range(1, few):
         same = np.flatnonzero(c[d:] == c[:-d])
         if not len(same):
             break
-        cells.append(r[same].astype(np.int64) * members + r[same + d])
-    if cells:
-        once = np.bincount(np.concatenate(cells), minlength=members * members).reshape(members, members).astype(np.float32)
-        common += once + once.T
-    r, c = row[~short], np.unique(column[~short], return_inverse=True)[1]
-    for low in range(0, int(c[-1]) + 1 if len(c) else 0, 2048):
-        here = slice(*np.searchsorted(c, (low, low + 2048)))
-        block = np.zeros((members, min(2048, int(c[-1]) + 1 - low)), dtype=np.float32)
-        block[r[here], c[here] - low] = 1
-        common += block @ block.T
+        low, high = r[same], r[same + d]
+        if split:
+            across = (low < split) & (high >= split)
+            low, high = low[across], high[across] - split
+        cells.append(low * np.int32(shape[1]) + high)
+    common = np.bincount(np.concatenate(cells), minlength=shape[0] * shape[1]).astype(np.float32).reshape(shape) if cells else np.zeros(shape, dtype=np.float32)
+    if not split:
+        common += common.T.copy()
+    r, c = row[~short], column[~short]
+    if len(c):
+        c = np.cumsum(np.append(False, c[1:] != c[:-1]))
+        for low in range(0, int(c[-1]) + 1, 2048):
+            here = slice(*np.searchsorted(c, (low, low + 2048)))
+            block = np.zeros((members, min(2048, int(c[-1]) + 1 - low)), dtype=np.float32)
+            block[r[here], c[here] - low] = 1
+            common += block[:split] @ block[split:].T if split else block @ block.T
     return common
 
 
@@ -203,76 +213,96 @@ def _tree(score: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def compared_lists(placed: DataFrame, percent: int, k: int) -> DataFrame:
-    """(list, kind, a, b): what the members of each unit have in common.
-
-    ``placed`` has a row for each member of a unit: list, unit, side, key, comp, n, sketch; members of the same comp are
-    joined already, and in a unit with two sides the pairs across them matter.  kind 0: a link proved by sketches, those of
-    a spanning forest; 1: pairs to be compared in full; 2: the unit has more pairs of this kind (a, b are null).
-    Units of the second turn, where ``turn`` is 2, return all pairs to be compared.
+class Unit:
+    """Members that are compared with each other: keys, components, sizes of their sets, sketches."""
+
+    def __init__(self, keys: np.ndarray, comp: np.ndarray, n: np.ndarray, ends: np.ndarray, values: np.ndarray, percent: int, k: int):
+        self.keys, self.comp, self.n, self.ends, self.values, self.percent, self.k = keys, comp, n, ends - ends[0], values, percent, k
+        self.least = np.array([least_shared(x, k, percent) for x in n.tolist()], dtype=np.int32)
+
+    def sketch(self, i: int) -> np.ndarray:
+        return self.values[self.ends[i] : self.ends[i + 1]]
+
+    def matrices(self, split: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of members before ``split`` with those from it on (0: all with all): what they have in common, which pairs of
+        different components are links for certain, and which may be."""
+        a, b = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
+        common = overlaps(self.values, np.repeat(np.arange(len(self.keys)), np.diff(self.ends)), len(self.keys), split)
+        na, nb = self.n[a, None], self.n[None, b]
+        asked = (self.comp[a, None] != self.comp[None, b]) & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * self.percent)
+        whole = (na <= self.k) & (nb <= self.k)
+        linked = asked & whole & (common * 100 >= (na + nb - common) * self.percent)
+        maybe = asked & ~whole & (common >= np.minimum(self.least[a, None], self.least[None, b]))
+        return common, linked, maybe
+
+    def allowed(self, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Those pairs whose estimates allow a link."""
+        return [(i, j) for i, j in pairs if estimate_allows(self.sketch(i), self.sketch(j), min(self.least[i], self.least[j]), self.k)]
+
+    def first_turn(self) -> tuple[list, list, list]:
+        """Proven links that make a forest, the best pairs that might join its trees, and members of other such pairs."""
+        common, linked, maybe = self.matrices()
+        label = _labels(linked, np.arange(len(self.keys)))
+        sure = [(i, int(x)) for i, x in enumerate(label.tolist()) if i != x]
+        maybe &= label[:, None] != label[None, :]
+        some = int(np.count_nonzero(maybe)) // 2
+        if not some:
+            return sure, [], []
+        sizes = np.diff(self.ends).astype(np.float32)
+        pairs = _tree(np.where(maybe, common / (sizes[:, None] + sizes[None, :] - common), -1.0), label)
+        return sure, self.allowed(pairs), [] if len(pairs) == some else np.flatnonzero(maybe.any(axis=1)).tolist()
+
+    def second_turn(self, split: int) -> tuple[list, list]:
+        """Proven links that join components, one for each two of them, and all other pairs that may."""
+        _, linked, maybe = self.matrices(split)
+        if not split:
+            linked, maybe = np.triu(linked, 1), np.triu(maybe, 1)
+        i, j = np.nonzero(linked)
+        j = j + split
+        _, first = np.unique(np.stack((np.minimum(self.comp[i], self.comp[j]), np.maximum(self.comp[i], self.comp[j]))), axis=1, return_index=True)
+        joined = {(x, y) for a, b in zip(self.comp[i[first]].tolist(), self.comp[j[first]].tolist(), strict=True) for x, y in ((a, b), (b, a))}
+        p, q = np.nonzero(maybe)
+        open_ = [(a, b) for a, b in zip(p.tolist(), (q + split).tolist(), strict=True) if (self.comp[a], self.comp[b]) not in joined]
+        return list(zip(i[first].tolist(), j[first].tolist(), strict=True)), self.allowed(open_)
+
+
+def compared_units(placed: DataFrame, percent: int, k: int, turn: int) -> DataFrame:
+    """(list, kind, a, b) of units of lists; kind 0: a proven link, 1: a pair to be compared in full, 2: a member (a) of pairs left.
+
+    ``placed`` has a row for each member of a unit: list, unit, side, key, comp, n, sketch.  Members of the same comp are
+    joined already; in a unit with two sides the pairs across them matter.
     """
 
-    def unit(keys, comp, side, n, flat, row, offsets, turn):  # noqa: PLR0917
-        members = len(keys)
-        common = overlaps(flat, row, members)
-        small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-        asked = (comp[:, None] != comp[None, :]) & (small * 100 >= large * percent)
-        if side.any():
-            asked &= side[:, None] != side[None, :]
-        whole = large <= k
-        linked = asked & whole & (common * 100 >= (n[:, None] + n[None, :] - common) * percent)
-        label = np.unique(comp, return_inverse=True)[1]
-        start = np.full(label.max() + 1, members)
-        np.minimum.at(start, label, np.arange(members))
-        label = start[label]
-        joined = _labels(linked, label)
-        sure = []
-        if linked.any():
-            for i in np.unique(label[joined != label]).tolist():  # one edge for each component that joined another
-                sure.append((i, int(joined[i])))
-        least = np.array([least_shared(int(x), k, percent) for x in n])
-        likely = asked & ~whole & (common >= np.minimum(least[:, None], least[None, :])) & (joined[:, None] != joined[None, :])
-        some = int(np.count_nonzero(likely)) // 2
-        pairs, more = [], False
-        if some:
-            if turn == 2:
-                pairs = [(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(likely, 1))), strict=True)]
-            else:
-                sizes = np.diff(offsets).astype(np.float32)
-                score = np.where(likely, common / (sizes[:, None] + sizes[None, :] - common), -1.0)
-                pairs = _tree(score, joined)
-                more = len(pairs) < some
-            part = [flat[offsets[i] : offsets[i + 1]] for i in range(members)]
-            pairs = [(i, j) for i, j in pairs if estimate_allows(part[i], part[j], min(least[i], least[j]), k)]
-        return sure, pairs, more
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 2):
-            lists, units, sides, keys, comps, ns, turns = (table.column(i).to_numpy() for i in (0, 1, 2, 3, 4, 5, 6))
-            sketch = table.column(7).combine_chunks()
-            ends, values = sketch.offsets.to_numpy(), sketch.values.to_numpy()
+            lists, units, sides, keys, comps, ns = (table.column(i).to_numpy() for i in range(6))
+            sketch = table.column(6).combine_chunks()
+            ends, values = sketch.offsets.to_numpy(), sketch.values.to_numpy().view(np.uint64)
             starts = np.flatnonzero(np.append(True, (lists[1:] != lists[:-1]) | (units[1:] != units[:-1])))
             out: list[tuple] = []
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(lists)], strict=True):
                 if b - a < 2:
                     continue
-                offsets = ends[a : b + 1] - ends[a]
-                row = np.repeat(np.arange(b - a), np.diff(offsets))
-                sure, pairs, more = unit(keys[a:b], comps[a:b], sides[a:b], ns[a:b], values[ends[a] : ends[b]].view(np.uint64), row, offsets, turns[a])
+                unit, left = Unit(keys[a:b], comps[a:b], ns[a:b], ends[a : b + 1], values[ends[a] : ends[b]], percent, k), []
+                if turn == 1:
+                    sure, pairs, left = unit.first_turn()
+                else:
+                    split = int(np.count_nonzero(sides[a:b] == 0))
+                    sure, pairs = unit.second_turn(split) if 0 < split < b - a else unit.second_turn(0) if split else ([], [])
                 name = int(lists[a])
-                out += [(name, kind, *sorted((int(keys[a + i]), int(keys[a + j])))) for kind, found in ((0, sure), (1, pairs)) for i, j in found]
-                if more:
-                    out.append((name, 2, None, None))
+                out += [(name, kind, *sorted((int(unit.keys[i]), int(unit.keys[j])))) for kind, found in ((0, sure), (1, pairs)) for i, j in found]
+                out += [(name, 2, int(unit.keys[i]), None) for i in left]
             columns = [pa.array(x, type=t) for x, t in zip(zip(*out, strict=True) if out else ([], [], [], []), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["list", "kind", "a", "b"])
 
-    rows = placed.select("list", "unit", "side", "key", "comp", "n", "turn", "sketch")
-    return rows.repartition(partitions(rows.sparkSession), "list", "unit").sortWithinPartitions("list", "unit").mapInArrow(run, "list long, kind int, a long, b long")
+    rows = placed.select("list", "unit", "side", "key", "comp", "n", "sketch")
+    return rows.repartition(partitions(rows.sparkSession), "list", "unit").sortWithinPartitions("list", "unit", "side").mapInArrow(run, "list long, kind int, a long, b long")
 
 
 def texts_of(keys: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, text) of the rows in ``keys``, once each."""
     wanted = sets.select("key", "id", "text_hash").join(keys.select("key").distinct(), "key", "left_semi").withColumnRenamed("id", "w")
+    wanted = broadcast_if_small(stored(wanted, "near-wanted"))
     text = text_or_empty(text_col)
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
     texts = source.join(wanted, F.col("id").eqNullSafe(F.col("w")) & (source["text_hash"] == wanted["text_hash"])).select("key", "text")
@@ -354,20 +384,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pilot = F.pmod(F.xxhash64(F.lit("pilot"), "key"), F.col("size")) < pilots
     units = F.when(blocks == 1, F.array(F.lit(0))).when(pilot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(hashed(blocks)))
     placed = lists.select("list", F.explode(units).alias("unit"), "key").join(facts, "key")
-    placed = placed.select("list", F.col("unit").cast("long").alias("unit"), F.lit(0).alias("side"), "key", F.col("key").alias("comp"), F.lit(1).alias("turn"), "n", "sketch")
-    found = stored(compared_lists(placed, percent, k), "near-found")
+    placed = placed.select("list", F.col("unit").cast("long").alias("unit"), F.lit(0).alias("side"), "key", F.col("key").alias("comp"), "n", "sketch")
+    found = stored(compared_units(placed, percent, k, 1), "near-found")
     joined = components(verified(found))
 
-    # the second turn: lists that are not settled, members outside the main component with all of others
-    unsettled = found.where("kind = 2").select("list").unionByName(lists.where(F.col("size") > block).select("list")).distinct()
-    now = lists.join(unsettled, "list", "left_semi").join(joined, F.col("key") == F.col("node"), "left").select("list", "key", F.coalesce("root", "key").alias("comp"))
-    now = stored(now, "near-unsettled")
+    # the second turn, of named members and of dealt lists: those outside a list's largest component with all that are in another
+    unsettled = found.where("kind = 2").select("list", F.col("a").alias("key")).join(lists.where(blocks == 1).select("list").distinct(), "list", "left_semi")
+    unsettled = unsettled.unionByName(lists.where(blocks > 1).select("list", "key"))
+    now = stored(unsettled.join(joined, F.col("key") == F.col("node"), "left").select("list", "key", F.coalesce("root", "key").alias("comp")), "near-unsettled")
     shares = now.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("held"))
     apart = shares.groupBy("list").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("held", "comp")).alias("main"), F.sum("held").alias("size")).where("comps > 1")
-    apart = stored(apart.select("list", F.col("main.comp").alias("main"), F.col("main.held").alias("inside"), (F.col("size") - F.col("main.held")).alias("outside")), "near-apart")
+    apart = stored(apart.select("list", "size", F.col("main.comp").alias("main"), F.col("main.held").alias("inside")), "near-apart")
     if not apart.isEmpty():
-        half = block // 2
-        mains, others = (F.greatest(F.lit(1), F.ceil(F.col(c) / half)).cast("int") for c in ("inside", "outside"))
+        mains, others = (F.greatest(F.lit(1), F.ceil(c / block)).cast("int") for c in (F.col("inside"), F.col("size") - F.col("inside")))
         number = lambda kind, i, j: (i.cast("long") * (1 << 30) + j) * 2 + kind
         pair = lambda kind, i, j, side: F.struct(number(kind, i, j).alias("unit"), side.cast("int").alias("side"))
         mine = F.when(F.col("comp") == F.col("main"), hashed(F.col("b_main"))).otherwise(hashed(F.col("b_other")))
@@ -376,11 +405,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.transform(F.sequence(F.lit(0), F.col("b_main") - 1), lambda j: pair(0, F.col("mine"), j, F.lit(0))),
             F.transform(F.sequence(F.lit(0), F.col("b_other") - 1), lambda j: pair(1, F.least("mine", j), F.greatest("mine", j), F.col("mine") > j)),
         )
+        together = F.array(pair(1, F.lit(0), F.lit(0), F.lit(0)))  # all with all
+        where = F.when(F.col("size") <= block, together).when(F.col("comp") == F.col("main"), inside).otherwise(outside)
         members = now.join(apart, "list").withColumns({"b_main": mains, "b_other": others}).withColumn("mine", mine)
-        members = members.select("list", "key", "comp", F.explode(F.when(F.col("comp") == F.col("main"), inside).otherwise(outside)).alias("u"))
+        members = members.select("list", "key", "comp", F.explode(where).alias("u"))
         longer = stored(longer_sketches(texts_of(now.join(apart.select("list"), "list", "left_semi"), sets, docs, id_col, text_col), long_k, size), "near-longer")
-        placed = members.select("list", "u.unit", "u.side", "key", "comp", F.lit(2).alias("turn")).join(longer, "key")
-        late = verified(stored(compared_lists(placed, percent, long_k), "near-late"))
+        placed = members.select("list", "u.unit", "u.side", "key", "comp").join(longer, "key")
+        late = verified(stored(compared_units(placed, percent, long_k, 2), "near-late"))
         for x in "ab":  # between the components that are joined already
             late = late.join(joined, F.col(x) == F.col("node"), "left").withColumn(x, F.coalesce("root", x)).select("a", "b")
         merged = components(late).select(F.col("node").alias("m"), F.col("root").alias("r"))
