@@ -1,18 +1,15 @@
-"""Byte-level BPE encoding by merge replay over the words of the corpus, and decoding.
-
-Three steps, of which only the first sees texts:
-
-* Texts are split into words, block by block.  A document becomes a list of
-  numbers into its block's dictionary of distinct words; both are written to
-  the shared folder.
-* The distinct words of all dictionaries are the corpus.  An inverted index
-  leads from each pair of tokens to the positions of the words where it stands;
-  merges are applied in rank order, each at all its positions, and only the pairs
-  with the two touched neighbours are looked up and entered anew.  Words never
-  interact, so the corpus is dealt by word, and a task holds the index of a
-  bounded number of bytes at a time.
-* The ids of words return to the dictionaries, and each block's documents follow
-  its dictionary through one sorted stream.
+"""Byte-level BPE encoding by merge replay, and decoding.
+
+The distinct words of a block of the corpus are laid out as one row of byte
+tokens.  An inverted index leads from the rank of a pair to the positions of
+the words where the pair stands.  Ranks are replayed in order: a merge is applied
+at all its positions in all words at once, and only the pairs with the two touched
+neighbours are looked up and entered anew.
+
+Words never interact, so replaying a corpus block by block gives the ids that
+one replay over the whole corpus would; it spares moving every (word, document)
+pair through a shuffle.  Words seen in earlier blocks of a worker are kept,
+within a fixed number.
 """
 
 from __future__ import annotations
@@ -21,24 +18,25 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import fresh_path, partitions, ship, text_or_empty
+from .common import ship, text_or_empty, without_collection
 
-#: Characters of text in a block, and bytes of words under one index.
-BLOCK_CHARS, INDEX_BYTES = 16_000_000, 4_000_000
-#: Rows of a batch that leaves a worker.
-_ROWS = 4096
+#: Characters of text in a block.
+BLOCK_CHARS = 16_000_000
+#: Entries that a worker keeps from block to block.
+KEPT_WORDS = 300_000
+#: Longer chunks are not remembered.
+LONG = 64
 # A space between white space and white space (or the end): where cutting before each space would not be exact.
+_FAR = 2**30
 _TORN = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -47,11 +45,13 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
 
 
-class MergeReplay:
-    """The ranks of a vocabulary, and the replay of its merges over words."""
+class ByteBPE:
+    """An encoder and decoder for one vocabulary and one splitting pattern."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.names = {rank: str(rank) for rank in ranks.values()}
+        self.bytes_of = {str(rank): token for token, rank in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.shift = max(ranks.values()).bit_length()
         self.pairs: dict[int, int] = {}
@@ -60,115 +60,178 @@ class MergeReplay:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << self.shift | right] = rank
-        self.first = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], dtype=np.int64)
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word; one that is a token as it stands has that one."""
-        whole = [self.ranks.get(w) for w in words]
-        parts = iter(self._encode([w for w, rank in zip(words, whole, strict=True) if rank is None]))
-        return [next(parts) if rank is None else [rank] for rank in whole]
-
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
+        self.keys = np.array(sorted(self.pairs), dtype=np.int64)
+        self.merged = np.array([self.pairs[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.name_array = np.array([self.names.get(r, "") for r in range(max(self.names) + 1)], dtype=object)
+        #: ranks whose merge may give rise to an earlier one: its later positions in a word wait for that
+        mask = (1 << self.shift) - 1
+        self.early = {side for key, rank in self.pairs.items() for side in (key >> self.shift, key & mask) if rank < side}
+        self.first = np.full((256, 256), -1, dtype=np.int64)
+        for a in range(256):
+            for b in range(256):
+                self.first[a, b] = ranks.get(bytes([a, b]), -1)
+        self.words: dict[str, str] = {}
+        self.chunks: dict[str, str] = {}
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = (left << self.shift) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.merged[at], _FAR)
+
+    def _overtaken(self, rank: int, at: np.ndarray, token: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Those of the positions ``at`` whose merge, in their order, gives rise to a pair of an earlier rank."""
+        n, gone, back = len(token) - 1, after[at], before[at]
+        onward = after[gone]
+        right = np.where(onward < n, self._ranks_of(np.full(len(at), rank), token[onward]), _FAR)
+        left = np.where(np.append(False, gone[:-1] == back[1:]), rank, token[np.minimum(back, n)])
+        left = np.where(back < n, self._ranks_of(left, np.full(len(at), rank)), _FAR)
+        return at[(right < rank) | (left < rank)]
+
+    def replay(self, words: list[bytes]) -> list[str]:
+        """The ids of each word, in decimal, joined by commas."""
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
         n, sizes = len(flat), np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         if not n:
-            return [[] for _ in words]
+            return [""] * len(words)
         stops = np.cumsum(sizes)
-        following, preceding = np.arange(1, n + 2), np.arange(-1, n)
-        following[n] = -1
-        following[stops[sizes > 0] - 1] = -1
-        preceding[(stops - sizes)[sizes > 0]] = -1
-        pair = np.where(following[: n - 1] >= 0, self.first[flat[:-1], flat[1:]], -1)
-        where = np.flatnonzero(pair >= 0)
-        where = where[np.argsort(pair[where], kind="stable")]
-        found, starts = np.unique(pair[where], return_index=True)
-        index = {r: p.tolist() for r, p in zip(found.tolist(), np.split(where, starts[1:]), strict=True)} if len(found) else {}
-        token = self.single[flat].tolist() + [-1]  # index -1, the end of every word, holds no token
-        after_, before_ = following.tolist(), preceding.tolist() + [-1]
-        self._replay(token, after_, before_, index)
-        out = []
-        for start, size in zip((stops - sizes).tolist(), sizes.tolist(), strict=True):
-            ids, i = [], start if size else -1
-            while i >= 0:
-                ids.append(token[i])
-                i = after_[i]
-            out.append(ids)
-        return out
-
-    def _replay(self, token: list[int], following: list[int], preceding: list[int], index: dict[int, list[int]]) -> None:
-        """Apply all merges in rank order; ``index`` has the positions where the pair of a rank stands."""
-        waiting = list(index)
-        heapify(waiting)
-        rank_of, shift = self.pairs.get, self.shift
-
-        def enter(rank: int | None, at: int) -> int:
-            if rank is None:
-                return 1 << 62
-            if rank in index:
-                index[rank].append(at)
-            else:
-                index[rank] = [at]
-                heappush(waiting, rank)
-            return rank
+        token = np.append(self.single[flat], 0)  # position n stands for none
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[stops[sizes > 0] - 1], before[(stops - sizes)[sizes > 0]], after[n] = n, n, n
+        pair = np.full(n + 1, _FAR, dtype=np.int64)  # the rank of the pair that begins at a position
+        inner = np.flatnonzero(after[:n] < n)
+        first = self.first[flat[inner], flat[inner + 1]]
+        pair[inner] = np.where(first >= 0, first, _FAR)
+        live = np.ones(n, dtype=bool)
+        word = np.repeat(np.arange(len(words), dtype=np.int64), sizes)
+        index: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def enter(places: np.ndarray, ranks: np.ndarray) -> None:
+            known = ranks < _FAR
+            places, ranks = places[known], ranks[known]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            starts = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1])).tolist() if len(ranks) else []
+            for rank, a, b in zip(ranks[np.array(starts, dtype=np.int64)].tolist(), starts, [*starts[1:], len(ranks)] if starts else [], strict=True):
+                if rank in index:
+                    index[rank].append(places[a:b])
+                else:
+                    index[rank] = [places[a:b]]
+                    heappush(waiting, rank)
 
+        enter(inner, pair[inner])
         while waiting:
             rank = heappop(waiting)
-            places = sorted(index.pop(rank))
-            for k, i in enumerate(places):
-                j = following[i]
-                if token[i] < 0 or j < 0 or rank_of(token[i] << shift | token[j]) != rank:
-                    continue  # a neighbour's merge took one of the two
-                after, before = following[j], preceding[i]
-                token[i], token[j], following[i] = rank, -1, after
-                least = rank
-                if after >= 0:
-                    preceding[after] = i
-                    least = min(least, enter(rank_of(rank << shift | token[after]), i))
-                if before >= 0:
-                    least = min(least, enter(rank_of(token[before] << shift | rank), before))
-                if least < rank:  # an earlier merge became possible: it goes before the rest of this one
-                    if rest := places[k + 1 :]:
-                        if rank in index:
-                            index[rank] += rest
-                        else:
-                            index[rank] = rest
-                            heappush(waiting, rank)
-                    break
-
-
-_loaded: dict[str, MergeReplay] = {}
-
-
-def replay_of(content: bytes) -> MergeReplay:
-    """The worker's replay for a vocabulary file's content."""
-    key = hashlib.sha256(content).hexdigest()
-    if key not in _loaded:
-        _loaded[key] = MergeReplay(read_ranks(content))
-    return _loaded[key]
+            found = index.pop(rank)
+            at = found[0] if len(found) == 1 else np.concatenate(found)
+            at = at[pair[at] == rank]  # neighbours' merges may have taken one of the two
+            if len(at) > 1:
+                at.sort()
+                at = at[np.append(True, at[1:] != at[:-1])]
+                every = at
+                overlaps = np.append(False, after[at[:-1]] == at[1:])
+                if overlaps.any():  # of a run of overlapping pairs the first, third, ... merge
+                    place = np.arange(len(at))
+                    start = np.maximum.accumulate(np.where(overlaps, 0, place))
+                    at = at[(place - start) % 2 == 0]
+                if rank in self.early and len(soon := self._overtaken(rank, at, token, after, before)):
+                    # an earlier merge becomes possible there: what follows in these words has to wait for it
+                    first = soon[np.append(True, word[soon[1:]] != word[soon[:-1]])]
+                    of = np.searchsorted(word[first], word[every])
+                    near = first[np.minimum(of, len(first) - 1)]
+                    later = (word[near] == word[every]) & (every > near)
+                    if later.any():
+                        index[rank] = [every[later]]
+                        heappush(waiting, rank)
+                        at = at[~np.isin(at, every[later], assume_unique=True)]
+            if not len(at):
+                continue
+            gone = after[at]
+            onward = after[gone]
+            token[at], pair[gone], live[gone] = rank, _FAR, False
+            after[at], before[onward] = onward, at
+            back = before[at]
+            follows = onward < n
+            new = np.where(follows, self._ranks_of(token[at], token[onward]), _FAR)
+            pair[at] = new
+            back = back[back < n]
+            old = self._ranks_of(token[back], token[after[back]])
+            pair[back] = old
+            enter(np.concatenate((at, back)), np.concatenate((new, old)))
+        live = np.flatnonzero(live)
+        names = self.name_array[token[live]].tolist()
+        ends = np.searchsorted(live, stops).tolist()
+        return [",".join(names[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _learn(self, words: set[str]) -> dict[str, str]:
+        """Words -> ids, replaying those that are not kept."""
+        new = list(words.difference(self.words))
+        raw = [w.encode("utf-8", "surrogatepass") for w in new]
+        whole = list(map(self.ranks.get, raw))  # words that are tokens as they stand
+        parts = [i for i, r in enumerate(whole) if r is None]
+        ids = [self.names.get(r) for r in whole]
+        for i, found in zip(parts, self.replay([raw[i] for i in parts]), strict=True):
+            ids[i] = found
+        self.words.update(zip(new, ids, strict=True))
+        return self.words
+
+    def encode(self, texts: list[str]) -> list[str]:
+        """The ids of each text of a block, in decimal, joined by commas.
+
+        Texts are cut before each space, which no word crosses unless white
+        space stands on both sides; such texts are split as they are.
+        """
+        if len(self.words) > KEPT_WORDS or len(self.chunks) > KEPT_WORDS:
+            self.words, self.chunks = {}, {}
+        split, chunks = self.split, self.chunks
+        torn = [_TORN.search(t) is not None for t in texts]
+        fresh: set[str] = set()
+        heads: set[str] = set()
+        for text, slow in zip(texts, torn, strict=True):
+            if slow:
+                heads.add(text)
+            else:
+                parts = text.split(" ")
+                heads.add(parts[0])
+                fresh.update(parts[1:])
+        fresh.difference_update(chunks)
+        lead = {head: split(head) for head in heads}
+        plain = [c for c in fresh if c.isalpha()]  # with its space one word
+        mixed = [c for c in fresh if not c.isalpha()]
+        spaced = [" " + c for c in plain]
+        cut = [split(" " + c) for c in mixed]
+        known = self._learn(set(chain(spaced, chain.from_iterable(cut), chain.from_iterable(lead.values()))))
+        ids_of = known.__getitem__
+        chunks.update(zip(plain, map(ids_of, spaced), strict=True))
+        chunks.update(zip(mixed, (",".join(map(ids_of, words)) for words in cut), strict=True))
+        out, chunk_ids = [], chunks.__getitem__
+        for text, slow in zip(texts, torn, strict=True):
+            if slow:
+                out.append(",".join(map(ids_of, lead[text])))
+            else:
+                parts = text.split(" ")
+                head = ",".join(map(ids_of, lead[parts[0]]))
+                rest = ",".join(map(chunk_ids, parts[1:]))
+                out.append(f"{head},{rest}" if head and rest else head or rest)
+        for long in [c for c in fresh if len(c) > LONG]:
+            del chunks[long]
+        for long in [w for w in chain(spaced, *cut, *lead.values()) if len(w) > LONG]:
+            self.words.pop(long, None)
+        return out
 
+    def decode(self, ids: str) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""
 
-def split_block(texts: list[str], split: Callable[[str], list[str]]) -> tuple[list[str], list[list[int]]]:
-    """The distinct words of some texts, and each text as numbers into them.
 
-    Texts are cut before each space, which no word crosses unless white
-    space stands on both sides; such texts are split as they are.
-    """
-    number: dict[str, int] = {}
-    chunks: dict[str, list[int]] = {}  # of what follows a space
+_loaded: dict[tuple[str, str], ByteBPE] = {}
 
-    def numbers(words: list[str]) -> list[int]:
-        return [number.setdefault(w, len(number)) for w in words]
 
-    out = []
-    for text in texts:
-        if _TORN.search(text) is not None:
-            out.append(numbers(split(text)))
-            continue
-        head, *rest = text.split(" ")
-        for chunk in set(rest).difference(chunks):
-            chunks[chunk] = numbers([" " + chunk] if chunk.isalpha() else split(" " + chunk))  # letters are one word with their space
-        out.append([*numbers(split(head)), *chain.from_iterable(map(chunks.__getitem__, rest))])
-    return list(number), out
+def coder(content: bytes, pattern: str) -> ByteBPE:
+    """The worker's encoder for a vocabulary file's content."""
+    key = hashlib.sha256(content).hexdigest(), pattern
+    if key not in _loaded:
+        _loaded[key] = ByteBPE(read_ranks(content), pattern)
+    return _loaded[key]
 
 
 def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
@@ -183,117 +246,52 @@ def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
-#: What a column makes of a text's ids, in decimal and joined by commas, and of the vocabulary (decimal id -> bytes).
-Derive = Callable[[str, dict[str, bytes]], object]
-
-
-def _vocabulary(docs: DataFrame, path: str):
-    """The vocabulary file, read by the driver and broadcast: its size does not depend on the data."""
-    ship(docs.sparkSession)
-    with open(path, "rb") as file:
-        return docs.sparkSession.sparkContext.broadcast(file.read())
-
-
-def dictionaries(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Two tables of blocks: (block, id, refs) of documents, and (block, number, word) of their words."""
-    spark = docs.sparkSession
-    ship(spark)
-    source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    fields = [StructField("kind", IntegerType()), StructField("block", LongType()), StructField("id", source.schema["id"].dataType)]
-    schema = StructType([*fields, StructField("refs", ArrayType(IntegerType())), StructField("number", IntegerType()), StructField("word", StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, block = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, stop in blocks(texts):
-                words, refs = split_block(texts[start:stop], split)
-                n, m = stop - start, len(words)
-                offsets = np.cumsum([0, *map(len, refs)]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(refs), dtype=np.int32, count=int(offsets[-1]))
-                docs_ = [pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, block)), batch.column(0).slice(start, n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())]
-                yield pa.RecordBatch.from_arrays(docs_, names=schema.names)
-                words_ = [pa.array(np.ones(m, np.int32)), pa.array(np.full(m, block)), pa.nulls(m, batch.column(0).type), pa.nulls(m, docs_[3].type), pa.array(np.arange(m, dtype=np.int32)), pa.array(words, type=pa.string())]
-                yield pa.RecordBatch.from_arrays(words_, names=schema.names)
-                block += 1
-
-    path = fresh_path(spark, "bpe-blocks")
-    source.mapInArrow(run, schema).write.partitionBy("kind").parquet(path)
-    both = spark.read.schema(StructType([*schema.fields[1:], schema.fields[0]])).parquet(path)
-    return both.where("kind = 0").select("block", "id", "refs"), both.where("kind = 1").select("block", "number", "word")
-
-
-def replayed(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids): the ids, in decimal and joined by commas, of each word of the corpus."""
-    content = _vocabulary(words, path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = replay_of(content.value)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for start, stop in blocks(texts, INDEX_BYTES):
-                ids = replay.encode([w.encode() for w in texts[start:stop]])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array([",".join(map(str, x)) for x in ids], type=pa.string())], names=["word", "ids"])
-
-    return words.select("word").distinct().repartition(partitions(words.sparkSession), "word").mapInArrow(run, "word string, ids string")
+Derive = Callable[[ByteBPE, str, str], object]
 
 
 def with_tokens(docs: DataFrame, path: str, pattern: str, derive: dict[str, tuple[pa.DataType, str, Derive]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: the id, and what ``derive`` makes of each text's ids.
 
     ``derive`` maps a column to its Arrow type, its SQL type and a function of
-    (ids, vocabulary).  ``path`` is the vocabulary file.  Null texts are empty
-    and have no ids; ids may be null, repeated and of any type.
+    (coder, text, ids).  ``path`` is the vocabulary file, read by the driver
+    and broadcast: its size does not depend on the data.  Null texts are empty
+    and have no ids.
     """
-    content = _vocabulary(docs, path)
-    texts, words = dictionaries(docs, pattern, id_col, text_col)
-    known = words.join(replayed(words, path), "word").select("block", "number", "ids")
-    nothing = lambda name: F.lit(None).cast(texts.schema[name].dataType).alias(name)
-    rows = known.select("block", "number", "ids", nothing("id"), nothing("refs"))
-    rows = rows.unionByName(texts.select("block", F.lit(None).cast("int").alias("number"), F.lit(None).cast("string").alias("ids"), "id", "refs"))
-    rows = rows.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", F.col("number").asc_nulls_last())
+    spark = docs.sparkSession
+    ship(spark)
+    with open(path, "rb") as file:
+        content = spark.sparkContext.broadcast(file.read())
+    source = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
+    id_type = source.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {str(rank): token for token, rank in read_ranks(content.value).items()}
-        block, ids_of = None, []
+        bpe = coder(content.value, pattern)
         for batch in batches:
-            blocks_, isword = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-            start = 0
-            for stop in [*(np.flatnonzero((blocks_[1:] != blocks_[:-1]) | (isword[1:] != isword[:-1])) + 1).tolist(), batch.num_rows]:
-                if blocks_[start] != block:
-                    block, ids_of = blocks_[start], []
-                if isword[start]:  # in the order of their numbers
-                    ids_of += batch.column(2).slice(start, stop - start).to_pylist()
-                else:
-                    for low in range(start, stop, _ROWS):
-                        n = min(_ROWS, stop - low)
-                        ids = [",".join(map(ids_of.__getitem__, refs)) for refs in batch.column(4).slice(low, n).to_pylist()]
-                        columns = [pa.array([make(i, token) for i in ids], type=kind) for kind, _, make in derive.values()]
-                        yield pa.RecordBatch.from_arrays([batch.column(3).slice(low, n), *columns], names=[id_col, *derive])
-                start = stop
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return rows.select("block", "number", "ids", "id", "refs").mapInArrow(run, f"`{id_col}` {id_type}, " + ", ".join(f"`{name}` {sql}" for name, (_, sql, _) in derive.items()))
-
+            texts = batch.column(1).to_pylist()
+            for start, stop in blocks(texts):
+                with without_collection():
+                    part = texts[start:stop]
+                    ids = bpe.encode(part)
+                    columns = [pa.array([make(bpe, t, i) for t, i in zip(part, ids, strict=True)], type=kind) for kind, _, make in derive.values()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), *columns], names=[id_col, *derive])
 
-def decode(ids: str, token: dict[str, bytes]) -> bytes:
-    return b"".join(map(token.__getitem__, ids.split(","))) if ids else b""
+    return source.mapInArrow(run, f"`{id_col}` {id_type}, " + ", ".join(f"`{name}` {sql}" for name, (_, sql, _) in derive.items()))
 
 
-def _count(ids: str, token: dict[str, bytes]) -> int:
+def _count(bpe: ByteBPE, text: str, ids: str) -> int:
     return ids.count(",") + 1 if ids else 0
 
 
-def _ids(ids: str, token: dict[str, bytes]) -> list[int]:
+def _ids(bpe: ByteBPE, text: str, ids: str) -> list[int]:
     return [int(x) for x in ids.split(",")] if ids else []
 
 
-def _ids_digest(ids: str, token: dict[str, bytes]) -> str:
+def _ids_digest(bpe: ByteBPE, text: str, ids: str) -> str:
     return hashlib.sha256(ids.encode()).hexdigest()
 
 
-def _decoded_digest(ids: str, token: dict[str, bytes]) -> str:
-    return hashlib.sha256(decode(ids, token)).hexdigest()
+def _decoded_digest(bpe: ByteBPE, text: str, ids: str) -> str:
+    return hashlib.sha256(bpe.decode(ids)).hexdigest()
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, **cols: str) -> DataFrame:
@@ -309,7 +307,10 @@ def token_digests(docs: DataFrame, path: str, pattern: str, **cols: str) -> Data
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id and text of every row of encoded documents; bytes that are no UTF-8 become U+FFFD."""
-    content = _vocabulary(encoded, path)
+    spark = encoded.sparkSession
+    ship(spark)
+    with open(path, "rb") as file:
+        content = spark.sparkContext.broadcast(file.read())
     source = encoded.select(id_col, ids_col)
     id_type = source.schema[id_col].dataType.simpleString()
 

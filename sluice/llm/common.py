@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import itertools
 import tempfile
 import uuid
@@ -106,6 +108,18 @@ def free_names(df: DataFrame, n: int) -> list[str]:
     return list(itertools.islice((name for i in itertools.count() if (name := f"own_{i}") not in taken), n))
 
 
+@contextlib.contextmanager
+def without_collection() -> Iterator[None]:
+    """No cycle collection for work that makes very many small objects and no cycles; as it was afterwards."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  ``lower`` does just that on pure ASCII, and fast; other texts are translated."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -13,7 +13,6 @@ hold every single byte.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections import deque
 from collections.abc import Iterator
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import ship, text_or_empty
+from .common import ship, text_or_empty, without_collection
 
 #: Words whose counts a worker keeps; beyond it starts anew.
 KEPT_WORDS = 500_000
@@ -121,9 +120,9 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = automaton(content.value)
-        gc.disable()  # many small objects and no cycles
         for batch in batches:
-            found = own.counts(batch.column(1).to_pylist())
+            with without_collection():
+                found = own.counts(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for w, _ in found], type=pa.int64()), pa.array([t for _, t in found], type=pa.int64())], names=[id_col, "n_words", "n_tokens"])
 
     return source.mapInArrow(run, f"`{id_col}` {id_type}, n_words long, n_tokens long")
