@@ -55,10 +55,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read that: a cut of lineage whose readers take only the columns they need."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, what: str, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read that: a cut of lineage whose readers take only the columns they need.
+
+    ``batch_rows`` bounds the Arrow batches of ``df``'s Python stages, where rows are wide.
+    """
+    path, conf = fresh_path(df.sparkSession, what), df.sparkSession.conf
+    before = conf.get(_BATCH_ROWS)
+    try:
+        if batch_rows is not None:
+            conf.set(_BATCH_ROWS, batch_rows)
+        df.write.parquet(path)
+    finally:
+        conf.set(_BATCH_ROWS, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -366,7 +366,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     only has a null id, and its rows are kept.  ``text_hash`` (xxhash64 of the
     text, null as empty) leads back to the rows where ids repeat.
     """
-    sets = stored(sketches(docs, id_col, text_col, percent, k, size), "near-sets")
+    sets = stored(sketches(docs, id_col, text_col, percent, k, size), "near-sets", 2000)
     classes = stored(sets.where("n > 0").groupBy("digest").agg(F.min("key").alias("rep"), F.min("id").alias("least_id")), "near-classes")
     reps = sets.join(classes.select("rep"), F.col("key") == F.col("rep"), "left_semi")
     lists = stored(inverted_lists(reps), "near-members")
@@ -376,7 +376,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = found.where("kind = 1").select("a", "b").distinct()
         keys = pairs.select(F.explode(F.array("a", "b")).alias("key"))
         texts = stored(texts_of(keys, sets, docs, id_col, text_col), "near-texts")
-        links = compared(pairs, texts, size).where(F.col("both") * 100 >= F.col("either") * percent)
+        links = stored(compared(pairs, texts, size), "near-compared", 200).where(F.col("both") * 100 >= F.col("either") * percent)
         return found.where("kind = 0").select("a", "b").unionByName(links.select("a", "b"))
 
     blocks = F.ceil(F.col("size") / block).cast("int")
@@ -385,7 +385,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     units = F.when(blocks == 1, F.array(F.lit(0))).when(pilot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(hashed(blocks)))
     placed = lists.select("list", F.explode(units).alias("unit"), "key").join(facts, "key")
     placed = placed.select("list", F.col("unit").cast("long").alias("unit"), F.lit(0).alias("side"), "key", F.col("key").alias("comp"), "n", "sketch")
-    found = stored(compared_units(placed, percent, k, 1), "near-found")
+    found = stored(compared_units(placed, percent, k, 1), "near-found", 2000)
     joined = components(verified(found))
 
     # the second turn, of named members and of dealt lists: those outside a list's largest component with all that are in another
@@ -409,9 +409,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         where = F.when(F.col("size") <= block, together).when(F.col("comp") == F.col("main"), inside).otherwise(outside)
         members = now.join(apart, "list").withColumns({"b_main": mains, "b_other": others}).withColumn("mine", mine)
         members = members.select("list", "key", "comp", F.explode(where).alias("u"))
-        longer = stored(longer_sketches(texts_of(now.join(apart.select("list"), "list", "left_semi"), sets, docs, id_col, text_col), long_k, size), "near-longer")
+        longer = stored(longer_sketches(texts_of(now.join(apart.select("list"), "list", "left_semi"), sets, docs, id_col, text_col), long_k, size), "near-longer", 1000)
         placed = members.select("list", "u.unit", "u.side", "key", "comp").join(longer, "key")
-        late = verified(stored(compared_units(placed, percent, long_k, 2), "near-late"))
+        late = verified(stored(compared_units(placed, percent, long_k, 2), "near-late", 1000))
         for x in "ab":  # between the components that are joined already
             late = late.join(joined, F.col(x) == F.col("node"), "left").withColumn(x, F.coalesce("root", x)).select("a", "b")
         merged = components(late).select(F.col("node").alias("m"), F.col("root").alias("r"))
