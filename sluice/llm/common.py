@@ -74,7 +74,7 @@ def stored(df: DataFrame, what: str, batch_rows: int | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``df``, a stored table of a few narrow columns, to be broadcast if it has no more than ``most`` rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 

@@ -166,13 +166,16 @@ def overlaps(flat: np.ndarray, row: np.ndarray, members: int, split: int = 0) ->
     return common
 
 
-def estimate_allows(a: np.ndarray, b: np.ndarray, least: int, k: int) -> bool:
-    """Whether the sketch of the union of two sets has ``least`` values or more that are common to both."""
-    both = np.concatenate((a, b))
-    both.sort()
-    twice = both[1:] == both[:-1]
-    place = np.cumsum(np.append(True, ~twice))  # of each value among the distinct ones
-    return int(np.count_nonzero(twice & (place[1:] <= k))) >= least
+def union_shares(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """For rows of two arrays of sketches: how many of the k least values of their union both have.
+
+    Shorter sketches are filled up with the largest number, which must not come among the k.
+    """
+    both = np.concatenate((a, b), axis=1)
+    both.sort(axis=1)
+    twice = both[:, 1:] == both[:, :-1]
+    place = np.cumsum(~twice, axis=1, dtype=np.int32)  # of each value but the first among the distinct ones, from 0
+    return np.count_nonzero(twice & (place < k), axis=1)
 
 
 def _labels(linked: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -220,9 +223,6 @@ class Unit:
         self.keys, self.comp, self.n, self.ends, self.values, self.percent, self.k = keys, comp, n, ends - ends[0], values, percent, k
         self.least = np.array([least_shared(x, k, percent) for x in n.tolist()], dtype=np.int32)
 
-    def sketch(self, i: int) -> np.ndarray:
-        return self.values[self.ends[i] : self.ends[i + 1]]
-
     def matrices(self, split: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of members before ``split`` with those from it on (0: all with all): what they have in common, which pairs of
         different components are links for certain, and which may be."""
@@ -235,22 +235,30 @@ class Unit:
         maybe = asked & ~whole & (common >= np.minimum(self.least[a, None], self.least[None, b]))
         return common, linked, maybe
 
-    def allowed(self, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Those pairs whose estimates allow a link."""
-        return [(i, j) for i, j in pairs if estimate_allows(self.sketch(i), self.sketch(j), min(self.least[i], self.least[j]), self.k)]
+    def allowed(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs the estimates by the sketches of their unions allow, and these estimates."""
+        table = np.full((len(self.keys), self.k), np.iinfo(np.uint64).max, dtype=np.uint64)
+        row = np.repeat(np.arange(len(self.keys)), np.diff(self.ends))
+        table[row, np.arange(len(self.values)) - np.repeat(self.ends[:-1], np.diff(self.ends))] = self.values
+        step = max(1, (1 << 18) // self.k)
+        shares = [union_shares(table[i[a : a + step]], table[j[a : a + step]], self.k) for a in range(0, len(i), step)]
+        shares = np.concatenate(shares) if shares else np.empty(0, dtype=np.int64)
+        return shares >= np.minimum(self.least[i], self.least[j]), shares
 
     def first_turn(self) -> tuple[list, list, list]:
         """Proven links that make a forest, the best pairs that might join its trees, and members of other such pairs."""
-        common, linked, maybe = self.matrices()
+        _, linked, maybe = self.matrices()
         label = _labels(linked, np.arange(len(self.keys)))
         sure = [(i, int(x)) for i, x in enumerate(label.tolist()) if i != x]
-        maybe &= label[:, None] != label[None, :]
-        some = int(np.count_nonzero(maybe)) // 2
-        if not some:
+        i, j = np.nonzero(np.triu(maybe & (label[:, None] != label[None, :]), 1))
+        good, shares = self.allowed(i, j)
+        i, j, shares = i[good], j[good], shares[good]
+        if not len(i):
             return sure, [], []
-        sizes = np.diff(self.ends).astype(np.float32)
-        pairs = _tree(np.where(maybe, common / (sizes[:, None] + sizes[None, :] - common), -1.0), label)
-        return sure, self.allowed(pairs), [] if len(pairs) == some else np.flatnonzero(maybe.any(axis=1)).tolist()
+        score = np.full(maybe.shape, -1.0, dtype=np.float32)
+        score[i, j] = score[j, i] = shares
+        pairs = _tree(score, label)
+        return sure, pairs, [] if len(pairs) == len(i) else np.unique(np.concatenate((i, j))).tolist()
 
     def second_turn(self, split: int) -> tuple[list, list]:
         """Proven links that join components, one for each two of them, and all other pairs that may."""
@@ -262,8 +270,9 @@ class Unit:
         _, first = np.unique(np.stack((np.minimum(self.comp[i], self.comp[j]), np.maximum(self.comp[i], self.comp[j]))), axis=1, return_index=True)
         joined = {(x, y) for a, b in zip(self.comp[i[first]].tolist(), self.comp[j[first]].tolist(), strict=True) for x, y in ((a, b), (b, a))}
         p, q = np.nonzero(maybe)
-        open_ = [(a, b) for a, b in zip(p.tolist(), (q + split).tolist(), strict=True) if (self.comp[a], self.comp[b]) not in joined]
-        return list(zip(i[first].tolist(), j[first].tolist(), strict=True)), self.allowed(open_)
+        good, _ = self.allowed(p, q + split)
+        open_ = [(a, b) for a, b in zip(p[good].tolist(), (q[good] + split).tolist(), strict=True) if (self.comp[a], self.comp[b]) not in joined]
+        return list(zip(i[first].tolist(), j[first].tolist(), strict=True)), open_
 
 
 def compared_units(placed: DataFrame, percent: int, k: int, turn: int) -> DataFrame:
@@ -356,7 +365,7 @@ def inverted_lists(reps: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5, k: int = K, long_k: int = LONG_K, block: int = BLOCK, pilots: int = PILOTS) -> DataFrame:
-    """One row for each row of ``docs``: id, n_shingles, component_id, kept, text_hash.
+    """One row for each row of ``docs``: id, n_shingles, component_id, kept, text_hash, component_key.
 
     Documents link when 100 * intersection >= percent * union of their full
     shingle sets.  Null and empty texts, and texts without words, have empty
@@ -364,13 +373,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of any ordered type; the id of a component is the least of its ids.  Rows
     that repeat an id are told apart by their texts; a component of null ids
     only has a null id, and its rows are kept.  ``text_hash`` (xxhash64 of the
-    text, null as empty) leads back to the rows where ids repeat.
+    text, null as empty) leads back to the rows where ids repeat, and
+    ``component_key`` is a component's own number, which its id is not then.
     """
     sets = stored(sketches(docs, id_col, text_col, percent, k, size), "near-sets", 2000)
     classes = stored(sets.where("n > 0").groupBy("digest").agg(F.min("key").alias("rep"), F.min("id").alias("least_id")), "near-classes")
-    reps = sets.join(classes.select("rep"), F.col("key") == F.col("rep"), "left_semi")
+    reps = sets.join(broadcast_if_small(classes.select("rep")), F.col("key") == F.col("rep"), "left_semi")
     lists = stored(inverted_lists(reps), "near-members")
-    facts = reps.join(lists.select("key").distinct(), "key", "left_semi").select("key", "n", "sketch")
+    listed = broadcast_if_small(stored(lists.select("key").distinct(), "near-listed"))
+    facts = sets.join(listed, "key", "left_semi").select("key", "n", "sketch")
 
     def verified(found: DataFrame) -> DataFrame:
         pairs = found.where("kind = 1").select("a", "b").distinct()
@@ -418,10 +429,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         old = joined.join(merged, F.col("root") == F.col("m"), "full")
         joined = old.select(F.coalesce("node", "m").alias("node"), F.coalesce("r", "root").alias("root"))
 
-    named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("digest", "least_id", F.coalesce("root", "rep").alias("root"))
+    named = stored(classes.join(joined, F.col("rep") == F.col("node"), "left").select("digest", "least_id", F.coalesce("root", "rep").alias("root")), "near-named")
     least = named.groupBy("root").agg(F.min("least_id").alias("component"))
-    named = named.join(least, "root").select(F.col("digest").alias("d"), "component")
-    out = sets.select("id", "n", "digest", "text_hash").join(named, F.when(F.col("n") > 0, F.col("digest")) == F.col("d"), "left")
+    named = named.join(least, "root").select(F.col("digest").alias("d"), "component", "root")
+    out = sets.select("key", "id", "n", "digest", "text_hash").join(named, F.when(F.col("n") > 0, F.col("digest")) == F.col("d"), "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash")
-    return out.select(id_col, "n_shingles", "component_id", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "text_hash")
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash", F.coalesce("root", "key").alias("component_key"))
+    kept = F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull())
+    return out.select(id_col, "n_shingles", "component_id", kept.alias("kept"), "text_hash", "component_key")
