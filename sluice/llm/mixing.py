@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, text_or_empty
+from .common import WORD, free_names, stored, text_or_empty
 
 #: Hex digits of the order hash that name a bucket: 4096 of them a source.
 BUCKET_CHARS = 3
@@ -74,20 +74,12 @@ def invert_demand(offset: Column, target: Column, turn: Column, schedules: Seque
     return by_turn
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, budget: float = 1.5, most: float = 2.0) -> DataFrame:
-    """id, size, source_size, target, taken, position, again, of every row, range-sorted by position.
-
-    ``taken`` is the number of the document's words that the mix takes, repeats
-    counted: a source is read from its start in hash order, once and then once
-    more, until its target (rounded down) is met.  ``position`` is the place of
-    its first reading and ``again`` that of its second, which starts one source size
-    later; each is null where it takes nothing.  Null and empty texts have
-    size 0; a null source is a source of its own, the last; rows of one id
-    follow each other by size.  An empty table gives an empty mix.
-    """
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], schedules: Sequence[Sequence[float]], budget: float, most: float, key: Sequence[Column] = ()) -> DataFrame:
+    """id, h, k0, k1, ... (``key``), size, source_size, target, at, taken, position, again of every row."""
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_or_empty(text_col)).alias("size"), order.alias("h"))
-    sized = cut(sized.withColumn("bucket", F.substring("h", 1, BUCKET_CHARS)))
+    names = [f"k{i}" for i in range(len(key))]
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_or_empty(text_col)).alias("size"), order.alias("h"), *(k.alias(n) for k, n in zip(key, names, strict=True)))
+    sized = stored(sized.withColumn("bucket", F.substring("h", 1, BUCKET_CHARS)), "mix-sizes")
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, budget, most)
     in_order = Window.partitionBy("source").orderBy("bucket")
@@ -95,14 +87,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     starts = starts.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     starts = starts.withColumnRenamed("source", "s").withColumnRenamed("bucket", "b")
     placed = sized.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    inside = Window.partitionBy("source", "bucket").orderBy("h", F.col("id").asc_nulls_first(), "size")
+    inside = Window.partitionBy("source", "bucket").orderBy("h", F.col("id").asc_nulls_first(), "size", *names)
     placed = placed.withColumn("at", F.col("start") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     whole = F.floor("target").cast("long")
     once = lambda goal: F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("at"))).cast("long")
     placed = placed.withColumn("taken", once(whole) + once(whole - F.col("source_size")))
     met = lambda offset: F.round(invert_demand(offset.cast("double"), F.col("target"), F.col("turn"), schedules), 9)
     placed = placed.withColumn("position", F.when(F.col("taken") > 0, met(F.col("at"))))
-    placed = placed.withColumn("again", F.when(once(whole - F.col("source_size")) > 0, met(F.col("at") + F.col("source_size"))))
+    return placed.withColumn("again", F.when(once(whole - F.col("source_size")) > 0, met(F.col("at") + F.col("source_size"))))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, budget: float = 1.5, most: float = 2.0) -> DataFrame:
+    """id, size, source_size, target, taken, position, again, of every row, range-sorted by position.
+
+    ``taken`` is the number of the document's words that the mix takes, repeats
+    counted: a source is read from its start in hash order, once and then once
+    more, until its target (rounded down) is met.  ``position`` is the place of
+    its first reading and ``again`` that of its second, which starts one source size
+    later; each is null where it takes nothing.  Null and empty texts have
+    size 0; a null source is a source of its own, the last; rows of one id
+    follow each other by size.  An empty table gives an empty mix.
+    """
+    placed = _placed(docs, id_col, text_col, source_col, weights, schedules, budget, most)
     # what is never reached comes after the end, spread by its offset
     late = F.coalesce("position", F.lit(1.0) + F.col("at") / (F.col("source_size") + F.lit(1.0)))
     return (
@@ -112,21 +118,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, budget: float = 1.5, most: float = 2.0) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``, in training order.
 
     Texts are never cut: a document comes as often as ``taken / size`` rounds to
     (halves up), which is 0, 1 or 2 times, each copy at the position of its own
-    reading.  Ids must be unique.
+    reading; equal positions stand in hash order.  Ids may be null or repeated:
+    rows are told apart by 128 bits of all their columns, and rows that agree in
+    all of them come as often as the mix takes them all together.
     """
-    takes = mix(docs, id_col, **how).where("taken > 0")
-    times = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
-    takes = takes.select(F.col(id_col).alias("_id"), times.alias("_times"), F.array("position", "again").alias("_positions")).where("_times > 0")
     columns = docs.columns
+    digest = [F.xxhash64(F.lit(i), *columns) for i in (0, 1)]
+    takes = _placed(docs, id_col, text_col, source_col, weights, schedules, budget, most, digest).where("taken > 0")
+    times = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
+    takes = takes.select("k0", "k1", "h", F.slice(F.array("position", "again"), F.lit(1), times).alias("positions")).where(F.size("positions") > 0)
+    takes = takes.groupBy("k0", "k1", "h").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    k0, k1, h, positions, position = free_names(docs, 5)
+    takes = takes.select(F.col("k0").alias(k0), F.col("k1").alias(k1), F.col("h").alias(h), F.col("positions").alias(positions))
+    single = docs.withColumns(dict(zip((k0, k1), digest, strict=True))).dropDuplicates([k0, k1])  # already dealt as the join wants it
     return (
-        docs.join(takes, docs[id_col] == F.col("_id"))
-        .withColumn("_position", F.explode(F.slice("_positions", F.lit(1), F.col("_times"))))
-        .repartitionByRange("_position")
-        .sortWithinPartitions("_position")
+        single.join(takes, [k0, k1])
+        .withColumn(position, F.explode(positions))
+        .repartitionByRange(position, h)
+        .sortWithinPartitions(position, h)
         .select(*columns)
     )

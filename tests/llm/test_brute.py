@@ -305,6 +305,57 @@ def test_pii_brute(spark):
         assert set(filter(None, want.split(","))) <= set(got[i]["spans"].split(","))
 
 
+def test_pii_terms_brute(spark):
+    """The method's own spans, recomputed from the definitions in plain Python."""
+    import math
+
+    rng = random.Random(12)
+    names = ["Zorblax", "Quimby", "Äther", "office", "mail", "today", "report", "the"]
+    reach, alpha, support = 64, 1.25, 3
+    texts = []
+    for i in range(120):
+        words = rng.choices(names, [0.1, 0.1, 0.05, 8, 8, 8, 8, 9], k=rng.randrange(3, 30))
+        if i % 3 == 0:
+            owner = rng.choice(["Zorblax", "Quimby", "Äther"])
+            at = rng.randrange(len(words))
+            words[at:at] = [owner, {"Zorblax": "zed@mail.org", "Quimby": "+49 30 123456789", "Äther": "10.1.2.3"}[owner]]
+        texts.append(" ".join(words))
+    shape = re.compile(r"(?P<email>zed@mail\.org)|(?P<phone>\+49 30 123456789)|(?P<ip>10\.1\.2\.3)")
+    term = re.compile(r"\w{3,}")
+    texts = sorted(set(texts))
+    near, holds, in_doc = {}, {}, {}
+    for i, t in enumerate(texts):
+        for w in set(x.lower() for x in term.findall(t)):
+            in_doc.setdefault(w, set()).add(i)
+        for e in shape.finditer(t):
+            holds.setdefault(e.group(), set()).add(i)
+            for part, start in ((t[max(0, e.start() - reach) : e.start()], max(0, e.start() - reach)), (t[e.end() : e.end() + reach], e.end())):
+                for m in term.finditer(part):
+                    a, b = start + m.start(), start + m.end()
+                    torn = (m.start() == 0 and start > 0 and start < e.start()) or (b == e.end() + reach and start == e.end())
+                    if not torn:
+                        near.setdefault((e.group(), m.group().lower()), set()).add((i, a, b))
+    n, want = len(texts), {i: set() for i in range(len(texts))}
+    for (e, w), places in near.items():
+        n_et = len({i for i, _, _ in places})
+        if n_et >= support and math.log2(n / len(holds[e])) > 0 and math.log2(n_et * n / (len(holds[e]) * len(in_doc[w]))) >= math.log2(n / len(holds[e])) / alpha:
+            for i, a, b in places:
+                if not any(a < m.end() and m.start() < b for m in shape.finditer(texts[i])):
+                    want[i].add(f"term:{a}:{b}")
+    assert sum(map(len, want.values())) > 20
+    for r in pii.find_pii(docs(spark, texts)).collect():
+        assert {s for s in r["spans"].split(",") if s.startswith("term:")} == want[r["doc_id"]], texts[r["doc_id"]]
+
+
+def test_pii_is_linear_in_matches(spark):
+    import time
+
+    d = docs(spark, ["1." * 100_000, "a@b.co " * 20_000])
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.find_pii(d).collect()}
+    assert got[0]["n_ip"] == 25_000 and got[1]["n_email"] == 20_000 and time.time() - began < 60
+
+
 def test_pii_terms_that_reveal_an_entity(spark):
     filler = [f"filler{i} words" for i in range(30)]
     texts = [f"{filler[i]} Zorblax writes from zed@mail.org again" for i in range(5)] + [f"{f} again from nobody writes" for f in filler]
