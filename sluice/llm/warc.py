@@ -1,8 +1,9 @@
 """A deterministic, sharded WARC writer and its reader.
 
-Pages are range-sorted by id into shards of equal id width.  Each shard is
-written in order by one task that rolls to a new file once the compressed size
-passes a limit; every record is a gzip member of its own.  Headers are made
+Pages are range-sorted by id into shards of about equally many pages; the ranges
+come from a sample of the ids by their hashes, so they depend on the ids alone.
+Each shard is written in order by one task that rolls to a new file once the
+compressed size passes a limit; every record is a gzip member of its own.  Headers are made
 anew: lengths, payload and block digests, record ids from the content.  Of equal
 payloads one record is the response and the others are revisits of it.
 
@@ -22,15 +23,21 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, partitions, ship
 
-#: Compressed bytes after which a shard goes on in a new file.
-ROLL_BYTES = 8 << 20
+#: Compressed bytes after which a shard goes on in a new file, and bytes of payload that a shard is made for.
+ROLL_BYTES, SHARD_BYTES = 1 << 30, 1 << 30
+#: Sampled ids for each shard.
+SAMPLES = 64
+#: Bytes that the reader takes at a time.
+READ_BYTES = 1 << 16
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT = 1000
 #: WARC-Date of every record, so that reruns write the same bytes.
@@ -67,12 +74,25 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     return text.encode("utf-8", "replace") + block + b"\r\n\r\n"
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
-    """(fields, HTTP head, payload) of each record of an archive's bytes, digests checked; member by member."""
-    while data:
-        inflate = zlib.decompressobj(wbits=31)
-        raw = inflate.decompress(data)
-        data = inflate.unused_data
+def members(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The contents of the gzip members of a file that comes in parts; one member is held at a time."""
+    inflate, held = zlib.decompressobj(wbits=31), []
+    for data in parts:
+        while data:
+            held.append(inflate.decompress(data))
+            data = inflate.unused_data
+            if inflate.eof:
+                yield b"".join(held)
+                inflate, held = zlib.decompressobj(wbits=31), []
+            else:
+                break
+    if any(held):
+        raise ValueError("the archive ends inside a record")
+
+
+def parse_records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
+    """(fields, HTTP head, payload) of each record of an archive that comes in parts, digests checked."""
+    for raw in members(parts):
         head, _, rest = raw.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         if version != "WARC/1.1":
@@ -101,25 +121,55 @@ def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     return rows.join(copies, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "digest", "first").distinct()
 
 
-def write_warc(pages: DataFrame, path: str, shards: int | None = None, shard_pages: int = 2048, roll_bytes: int = ROLL_BYTES, level: int = 6, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> list[dict]:
+def shard_bounds(pages: DataFrame, id_col: str, html_col: str, shards: int | None, shard_bytes: int) -> list[int]:
+    """The least id of each shard but the first; the same for the same pages and number of shards.
+
+    The driver gets about SAMPLES ids a shard, those of the least hashes.
+    """
+    ids = pages.select(F.col(id_col).cast("long").alias("id"), F.octet_length(html_col).cast("long").alias("size"))
+    total = ids.agg(F.count("id").alias("n"), F.sum("size").alias("size")).first()
+    least = min(partitions(pages.sparkSession), -(-total["n"] // 1000))  # work for all cores, if there is some for each
+    shards = shards or max(1, least, -(-(total["size"] or 0) // shard_bytes))
+    if shards == 1 or not total["n"]:
+        return []
+    share = min(1.0, SAMPLES * shards / total["n"])
+    taken = F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = sorted(r["id"] for r in ids.where(taken & F.col("id").isNotNull()).select("id").collect())
+    return sorted({sample[len(sample) * i // shards] for i in range(1, shards)}) if sample else []
+
+
+def write_warc(pages: DataFrame, path: str, shards: int | None = None, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, level: int = 6, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> list[dict]:
     """Write ``pages`` under ``path`` and return the manifest's files.
 
-    The same pages give the same archives, however Spark deals the work out.
-    ``shards`` defaults to one for each ``shard_pages`` ids of the id range.
-    Pages of a null id come first; pages of one id stand in the order of url
-    and payload.  An empty table gives an empty manifest.
+    The same pages and number of ``shards`` give the same archives, however Spark
+    deals the work out.  ``shards`` defaults to one for each ``shard_bytes`` of payload,
+    and as many as there are shuffle partitions if these have 1000 pages each.  Ids are
+    whole numbers, as sparse as they like.  Pages of a null id come first; pages of one
+    id are in one shard and stand in the order of url and payload.  An empty table gives
+    an empty manifest.
     """
-    low, high = pages.agg(F.min(id_col).cast("long"), F.max(id_col).cast("long")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    shards = shards or max(1, -(-(high - low + 1) // shard_pages))
-    width = -(-(high - low + 1) // shards)
-    records = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
+    spark = pages.sparkSession
+    ship(spark)
+    bounds = shard_bounds(pages, id_col, html_col, shards, shard_bytes)
+    shards = len(bounds) + 1
+    edges = spark.sparkContext.broadcast(bounds)  # a number for each shard
+
+    @F.pandas_udf("int")
+    def shard_of(ids: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        out = np.zeros(len(ids), dtype=np.int32)
+        out[known] = np.searchsorted(np.array(edges.value, dtype=np.int64), ids[known].to_numpy().astype(np.int64), side="right")
+        return pd.Series(out)
+
+    number = F.col(id_col).cast("long")
+    records = pages.select(number.alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     records = records.withColumns({"digest": F.lit(None).cast("string"), "first": F.lit(None).cast("long")})
     # the payloads move once; what is to be a revisit travels beside them and sorts before its page
     marks = revisits(pages, id_col, html_col).select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first")
-    rows = records.unionByName(marks).withColumn("shard", F.coalesce(F.floor((F.col("id") - low) / F.lit(width)).cast("int"), F.lit(0)))
+    rows = records.unionByName(marks)
+    # ids beyond 2 ** 53 must not pass through floating point on their way: nulls are told apart before
+    rows = rows.withColumn("shard", F.when(F.col("id").isNull(), F.lit(0)).otherwise(shard_of(F.coalesce("id", F.lit(0)))) if bounds else F.lit(0))
     rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), F.col("digest").asc_nulls_last(), "url", "payload")
-    ship(pages.sparkSession)
     attempt = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,23 +241,28 @@ def read_warc(spark, path: str) -> DataFrame:
         own, base = fs.FileSystem.from_uri(path)
         for batch in batches:
             for file, sha256 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with own.open_input_stream(f"{base}/{file}", compression=None) as f:
-                    data = f.read()
-                if hashlib.sha256(data).hexdigest() != sha256:
-                    raise ValueError(f"{file} is not what the manifest lists")
+                digest = hashlib.sha256()
                 rows = []
-                for fields, http, payload in parse_records(data):
+                for fields, http, payload in parse_records(parts(own, f"{base}/{file}", digest)):
                     size = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length: "))[16:])
                     sha1 = base64.b32decode(fields["WARC-Payload-Digest"][5:]).hex()
                     number = lambda k, f=fields: int(f[k]) if f.get(k) else None
                     response = fields["WARC-Type"] == "response"
                     rows.append((number("X-Page-ID"), fields["WARC-Target-URI"], payload if response else None, size, sha1, fields["WARC-Type"], number("X-Refers-To-Page")))
-                    if len(rows) >= 1000:
+                    if len(rows) >= 200:
                         yield pack(rows)
                         rows = []
+                if digest.hexdigest() != sha256:
+                    raise ValueError(f"{file} is not what the manifest lists")
                 if rows:
                     yield pack(rows)
 
+    def parts(own: fs.FileSystem, file: str, digest) -> Iterator[bytes]:
+        with own.open_input_stream(file, compression=None, buffer_size=1 << 20) as f:
+            while data := f.read(READ_BYTES):
+                digest.update(data)
+                yield data
+
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
         names = [x.split()[0] for x in schema.split(", ")]

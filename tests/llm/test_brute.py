@@ -388,7 +388,7 @@ def test_warc_round_trip_is_deterministic(spark):
     rows = [(i, f"http://x/{i}", page if i % 3 == 0 else f"<p>{i}</p>" * (i * 10)) for i in range(40)] + [(41, None, None), (None, "u\r\nv", "z"), (42, "same", "tiny"), (43, "same", "tiny"), (39, "again", page)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     paths = [fresh_path(spark, "warc-test") for _ in range(2)]
-    files = [warc.write_warc(p, path, shard_pages=16, roll_bytes=1500) for p, path in zip((pages, pages.repartition(7)), paths, strict=True)]
+    files = [warc.write_warc(p, path, shards=4, roll_bytes=1500) for p, path in zip((pages, pages.repartition(7)), paths, strict=True)]
     assert [f["sha256"] for f in files[0]] == [f["sha256"] for f in files[1]] and len(files[0]) > 3
     got = sorted(warc.read_warc(spark, paths[0]).collect(), key=lambda r: (r["page_id"] is None, r["page_id"]))
     assert len(got) == len(rows)
@@ -401,3 +401,20 @@ def test_warc_round_trip_is_deterministic(spark):
     assert warc.write_warc(pages.limit(0), empty) == [] and warc.read_warc(spark, empty).count() == 0
 
 
+
+
+def test_warc_takes_sparse_ids_and_is_read_in_small_parts(spark, monkeypatch):
+    ids = [1, 2**36 + 1, 2**53 + 1, 2**53 + 3, 9 * 10**18, -5, None, *range(1000, 1400)]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "p" * 1200 if n % 2 else f"<p>{i}" * (n % 50)) for n, i in enumerate(ids)], "page_id long, url string, html string")
+    path = fresh_path(spark, "warc-sparse")
+    files = warc.write_warc(pages, path, shards=6)
+    assert len(files) > 3 and max(f["records"] for f in files) < 200
+    monkeypatch.setattr(warc, "READ_BYTES", 7)
+    got = warc.read_warc(spark, path).collect()
+    want = {r["page_id"]: r["html"] for r in pages.collect()}
+    last = max(i for n, i in enumerate(ids) if n % 2 and i is not None)
+    assert sorted((r["page_id"] is not None, r["page_id"] or 0) for r in got) == sorted((i is not None, i or 0) for i in ids)
+    for r in got:
+        full = want[r["page_id"]]
+        assert (r["refers_to"], r["payload_bytes"]) == (last if full == "p" * 1200 and r["page_id"] != last else None, len(full))
+        assert r["payload_digest"] == hashlib.sha1(full.encode()).hexdigest() and (r["payload"] is None or r["payload"].decode() == full)
