@@ -27,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_or_empty, without_collection
+from .common import ship, text_or_empty, tidy, without_collection
 
 #: Characters of text in a block.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 #: Entries that a worker keeps from block to block.
 KEPT_WORDS = 300_000
 #: Longer chunks are not remembered.
@@ -264,6 +264,7 @@ def with_tokens(docs: DataFrame, path: str, pattern: str, derive: dict[str, tupl
     source = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
     id_type = source.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(content.value, pattern)
         for batch in batches:
@@ -314,6 +315,7 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
     source = encoded.select(id_col, ids_col)
     id_type = source.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = {rank: token for token, rank in read_ranks(content.value).items()}
         for batch in batches:

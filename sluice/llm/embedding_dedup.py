@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, ship, stored, whole_groups
+from .common import partitions, ship, stored, tidy, whole_groups
 from .graph import components
 
 #: Sign bits of a code.
@@ -45,6 +45,7 @@ def pack(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataF
     sound = F.col(label_col).isNotNull() & v.isNotNull()
     sound &= F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
@@ -73,6 +74,7 @@ def _triples(u: list, v: list, s: list) -> pa.RecordBatch:
 def first_neighbours(reps: DataFrame, kind: str, orders: range, window: int) -> DataFrame:
     """(u, v, sim) of vectors that stand near each other in an order of sign codes."""
 
+    @tidy
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(2).to_numpy()
@@ -84,6 +86,7 @@ def first_neighbours(reps: DataFrame, kind: str, orders: range, window: int) ->
                     code = ((x @ planes) > 0) @ (1 << np.arange(BITS, dtype=np.int64)[::-1])
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, t, dtype=np.int32)), pa.array(code)], names=["id", "label", "dim", "vec", "t", "code"])
 
+    @tidy
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
@@ -141,6 +144,7 @@ def descend(graph: DataFrame, reps: DataFrame, kind: str) -> DataFrame:
     held = reps.select("id", "vec").join(worst, F.col("id") == F.col("g"), "left").select("id", "vec", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
     rows = around.join(held, F.col("x") == F.col("id")).select("w", "x", "vec", "worst").repartition("w").sortWithinPartitions("w")
 
+    @tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 1):
             w, ids, worst = (table.column(i).to_numpy() for i in (0, 1, 3))
@@ -219,6 +223,7 @@ def block_links(left: DataFrame, right: DataFrame | None, kind: str, threshold:
     rows = rows.repartition(partitions(rows.sparkSession), "part", "unit").sortWithinPartitions("hash", "unit", "part", "side")
     within = right is None
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 3):
             hashes, units, side, ids, weight = (table.column(i).to_numpy() for i in (0, 1, 3, 4, 6))

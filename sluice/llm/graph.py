@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, ship
+from .common import cut, partitions, ship, tidy
 
 
+@tidy
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of a partition as stars around the least node of each of its components; at most one edge a node."""
     parent: dict[int, int] = {}

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, NumericType, StructField, StructType
 
-from .common import LOWER, SPACE, UPPER, cut, free_names, fresh_path, ship, stored, text_or_empty
+from .common import LOWER, SPACE, UPPER, cut, free_names, fresh_path, ship, stored, text_or_empty, tidy
 
 _LOWER = str.maketrans(UPPER, LOWER)
 #: A key with more than one in so many of all pairs is broadcast: that many rows at most.
@@ -89,6 +89,7 @@ def _pairs(docs: DataFrame, id_col: str, text_col: str, least_chars: int) -> Dat
     """(id, hash): one row for each row of ``docs`` and each of its keys."""
     ship(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, hashes = [], []
@@ -117,6 +118,7 @@ def _without(rows: DataFrame, columns: list[str], text_col: str, drop: str, leas
     at, wide = columns.index(text_col), rows.select(*columns, drop)
     schema = StructType([*(wide.schema[c] for c in columns), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []

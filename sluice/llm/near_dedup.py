@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, partitions, ship, stored, text_or_empty, whole_groups
+from .common import broadcast_if_small, partitions, ship, stored, text_or_empty, tidy, whole_groups
 from .graph import components
 
 #: Values that a sketch retains.
@@ -107,6 +107,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int,
     """key (of the row), id, text_hash, n (shingles), least (shared with a similar set), digest (of the set), sketch (its k least values)."""
     ship(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, least, digests, values, offsets = [], [], [], [], [0]
@@ -282,6 +283,7 @@ def compared_units(placed: DataFrame, percent: int, k: int, turn: int) -> DataFr
     joined already; in a unit with two sides the pairs across them matter.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 2):
             lists, units, sides, keys, comps, ns = (table.column(i).to_numpy() for i in range(6))
@@ -323,6 +325,7 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     ta, tb = (texts.select(F.col("key").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
     rows = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for batch in batches:
@@ -342,6 +345,7 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 def longer_sketches(texts: DataFrame, k: int, size: int) -> DataFrame:
     """key, n, sketch (the k least values of the set) of texts."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(text.as_py(), size) for text in batch.column(1)]

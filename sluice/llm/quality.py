@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_or_empty
+from .common import ship, stored, text_or_empty, tidy
 
 #: Bytes of a piece.
 PIECE = 1000
@@ -100,6 +100,7 @@ def _measured(source: DataFrame, good: bytes, bad: bytes) -> DataFrame:
     share = source.sparkSession.sparkContext.broadcast((good, bad))  # two dictionaries of fixed size
     id_type = source.schema["id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, b = map(compressor, share.value)
         for batch in batches:
@@ -143,6 +144,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     sampled = stored(sampled, "quality-sample")  # the documents are read once for all that follows
     ship(spark)
 
+    @tidy
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(p, label) for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in cut_pieces(text)]
@@ -175,6 +177,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     id_type = found.schema["id"].dataType.simpleString()
     own = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)], axis=1) if batch.num_rows else np.empty((0, 3))
@@ -190,6 +193,7 @@ def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5, text_col
     own = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = compressor(own.value.good), compressor(own.value.bad)
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import ship, text_or_empty, without_collection
+from .common import ship, text_or_empty, tidy, without_collection
 
 #: Words whose counts a worker keeps; beyond it starts anew.
 KEPT_WORDS = 500_000
@@ -118,6 +118,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     source = docs.select(F.col(id_col), text_or_empty(text_col).cast("binary").alias("text"))
     id_type = source.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = automaton(content.value)
         for batch in batches:

@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, ship
+from .common import cut, partitions, ship, tidy
 
 #: Compressed bytes after which a shard goes on in a new file, and bytes of payload that a shard is made for.
 ROLL_BYTES, SHARD_BYTES = 1 << 30, 1 << 30
@@ -172,6 +172,7 @@ def write_warc(pages: DataFrame, path: str, shards: int | None = None, shard_byt
     rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), F.col("digest").asc_nulls_last(), "url", "payload")
     attempt = uuid.uuid4().hex
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
@@ -237,6 +238,7 @@ def read_warc(spark, path: str) -> DataFrame:
     ship(spark)
     listed = spark.createDataFrame([(f["file"], f["sha256"]) for f in files], "file string, sha256 string").repartition(len(files), "file")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, base = fs.FileSystem.from_uri(path)
         for batch in batches:
