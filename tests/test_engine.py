@@ -4,6 +4,7 @@ import pytest
 
 from sluice import Reducer, Settings, SourceError, collect_target
 from sluice.cli import main
+from sluice.log import set_up
 from sluice.operators import lines as L
 from sluice.sources import readers
 from sluice.sources.sinks import FileSink, FolderSink
@@ -107,8 +108,30 @@ def test_target_loop(spark):
     assert len(lines) == 10 == len(set(lines)) and stats["stop_reason"] == "target"
     assert collect_target(source.limit(0), reducer, target_rows=3)[1]["stop_reason"] == "exhausted"
     assert collect_target(source, reducer, target_rows=10_000, batch_rows_=400, seed=1)[1]["stop_reason"] == "plateau"
-    with pytest.raises(ValueError):
-        collect_target(source, reducer, target_rows=0)
+    drawn = []
+
+    def batches(rows):
+        drawn.append(rows)
+        return source.where(f"line_no % 4 = {len(drawn)}")
+
+    lines, stats = collect_target(batches, reducer, target_rows=10_000)
+    assert drawn[0] == 10_000 and drawn[1] == 1_000_000 == stats["final_batch_rows"] and stats["stop_reason"] == "exhausted" and stats["fetches"] == 4 and lines
+    assert collect_target(source, reducer, target_rows=10_000, batch_rows_=400, max_batch_memory_gb=1e-7)[1]["stop_reason"] == "memory"
+    for bad in ({"target_rows": 0}, {"target_rows": 1, "max_fetches": 0}, {"target_rows": 1, "batch_rows_": -1}, {"target_rows": 1, "max_batch_memory_gb": 0}):
+        with pytest.raises(ValueError):
+            collect_target(source, reducer, **bad)
+
+
+def test_logging(tmp_path, monkeypatch):
+    path = tmp_path / "own" / "x.log"
+    log = set_up(Settings(enable_logging=True, log_file=str(path), log_format="json"))
+    log.info("some %s", "thing")
+    assert json.loads(path.read_text())["message"] == "some thing"
+    monkeypatch.setenv("LOG_LEVEL", "error")
+    log = set_up(Settings(enable_logging=True, log_file=str(path)))
+    log.info("unheard")
+    assert len(path.read_text().splitlines()) == 1 and len(log.handlers) == 1
+    assert set_up(Settings(enable_logging=True), own_handlers=False).propagate and not set_up(Settings()).propagate
 
 
 def test_cli(spark, tmp_path, capsys):
