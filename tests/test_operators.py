@@ -72,6 +72,16 @@ def test_drain_by_groups_equals_one_serial_pass(spark, lines):
     assert rows(mined.orderBy("line_no"), "cluster") == serial_drain(lines, 0.5)
 
 
+def test_a_large_group_is_mined_in_pieces(spark):
+    """Clear templates come out the same in pieces as in one pass, with the same counts and first lines."""
+    rng = random.Random(8)
+    kinds = ["user {} logged in from host", "user {} logged out of host", "disk {} is full on node", "job {} took {} seconds overall"]
+    lines = L.from_list(spark, [f"{i} {rng.choice(kinds).format(rng.randrange(10**6), rng.randrange(99))}" for i in range(600)])
+    count = lambda mined: {r["cluster"]: (r["template"], r["count"]) for r in patterns.count_patterns(mined).collect()}
+    whole = count(templates.drain_miner(lines, 0.5))
+    assert len(whole) >= 3 and count(templates.drain_miner(lines, 0.5, piece=50)) == whole
+
+
 def test_drain_patterns_rank_and_examples(spark):
     text = [f"INFO request {i} done" for i in range(10)] + [f"ERROR disk {i} broken" for i in range(5)] + ["CRITICAL all down 1", "CRITICAL all down 2", "once only"]
     mined = templates.drain_miner(L.from_list(spark, text), 0.5)
