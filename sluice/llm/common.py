@@ -57,6 +57,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_scratch: list[dict[str, str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are ``stored`` in here are deleted at the end, but for those handed to the function it gives.
+
+    What leaves the block must hang on kept tables (or checkpoints) only.
+    """
+    own: dict[str, str] = {}
+    _scratch.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own.pop(df._stored_at, None)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scratch.remove(own)
+        for path in own:
+            remove_path(spark, path)
+
+
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -73,7 +97,11 @@ def stored(df: DataFrame, what: str, batch_rows: int | None = None) -> DataFrame
         df.write.parquet(path)
     finally:
         conf.set(_BATCH_ROWS, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scratch:
+        _scratch[-1][path] = what
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
 
 
 def broadcast_if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:

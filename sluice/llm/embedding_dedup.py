@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, ship, stored, tidy, whole_groups
+from .common import partitions, scratch, ship, stored, tidy, whole_groups
 from .graph import components
 
 #: Sign bits of a code.
@@ -281,17 +281,8 @@ def unsettled(sample: DataFrame, exact: DataFrame, least_recall: float) -> DataF
     return cells.where(F.col("missing") * F.lit(least_recall) > F.col("known") * F.lit(1 - least_recall)).select("part")
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, k: int = 16, most_k: int = 64, orders: int = 8, window: int = 4, audit: int = 512, least_recall: float = 0.95) -> DataFrame:
-    """One row for each row of ``vectors``: id, n_links, component_id, kept.
-
-    Vectors of equal labels link when their cosine, in double precision, is at
-    least ``threshold``; vectors of different lengths do not.  Vectors that are
-    null, zero or hold null or non-finite components, and those without a
-    label, link with nothing and are their own components.  Equal vectors are one
-    class: its members link with each other and share the rest.  Rows that repeat an id,
-    or have none, are vectors of their own; a component's id is the least of its ids,
-    null if it has none, and then all of it is kept.  An empty table gives no rows.
-    """
+def _linked(vectors: DataFrame, id_col: str, vec_col: str, label_col: str, threshold: float, k: int, most_k: int, orders: int, window: int, audit: int, least_recall: float) -> tuple[DataFrame, DataFrame]:
+    """The table of all rows' vectors, and (label, dim, vec, least_id, n_links, root) of the distinct ones."""
     element = vectors.schema[vec_col].dataType.elementType.simpleString()
     kind = "<f4" if element == "float" else "<f8"
     packed = stored(pack(vectors if element in ("float", "double") else vectors.withColumn(vec_col, F.col(vec_col).cast("array<double>")), id_col, vec_col, label_col), "nn-vectors")
@@ -327,6 +318,22 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     roots = components(listed.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(exact.where("kind = 1").select("a", "b")))
     found = classes.join(sums, F.col("id") == F.col("u"), "left").join(roots, F.col("id") == F.col("node"), "left")
     found = stored(found.select("label", "dim", "vec", "least_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "id").alias("root")), "nn-found")
+    return packed, found
+
+
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, k: int = 16, most_k: int = 64, orders: int = 8, window: int = 4, audit: int = 512, least_recall: float = 0.95) -> DataFrame:
+    """One row for each row of ``vectors``: id, n_links, component_id, kept.
+
+    Vectors of equal labels link when their cosine, in double precision, is at
+    least ``threshold``; vectors of different lengths do not.  Vectors that are
+    null, zero or hold null or non-finite components, and those without a
+    label, link with nothing and are their own components.  Equal vectors are one
+    class: its members link with each other and share the rest.  Rows that repeat an id,
+    or have none, are vectors of their own; a component's id is the least of its ids,
+    null if it has none, and then all of it is kept.  An empty table gives no rows.
+    """
+    with scratch(vectors.sparkSession) as keep:
+        packed, found = map(keep, _linked(vectors, id_col, vec_col, label_col, threshold, k, most_k, orders, window, audit, least_recall))
     least = found.groupBy("root").agg(F.min("least_id").alias("component"))
     found = found.join(least, "root").select("label", "dim", "vec", "n_links", "component")
     alone = packed.where("vec IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))

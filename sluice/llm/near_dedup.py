@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, partitions, ship, stored, text_or_empty, tidy, whole_groups
+from .common import broadcast_if_small, partitions, scratch, ship, stored, text_or_empty, tidy, whole_groups
 from .graph import components
 
 #: Values that a sketch retains.
@@ -368,18 +368,8 @@ def inverted_lists(reps: DataFrame) -> DataFrame:
     return lists.join(chosen, "list").select("list", "size", "key")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5, k: int = K, long_k: int = LONG_K, block: int = BLOCK, pilots: int = PILOTS) -> DataFrame:
-    """One row for each row of ``docs``: id, n_shingles, component_id, kept, text_hash, component_key.
-
-    Documents link when 100 * intersection >= percent * union of their full
-    shingle sets.  Null and empty texts, and texts without words, have empty
-    sets and link with nothing, so such a row is its own component.  Ids may be
-    of any ordered type; the id of a component is the least of its ids.  Rows
-    that repeat an id are told apart by their texts; a component of null ids
-    only has a null id, and its rows are kept.  ``text_hash`` (xxhash64 of the
-    text, null as empty) leads back to the rows where ids repeat, and
-    ``component_key`` is a component's own number, which its id is not then.
-    """
+def _components_of_sets(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int, k: int, long_k: int, block: int, pilots: int) -> tuple[DataFrame, DataFrame]:
+    """The table of all rows' sets, and (digest, least_id, root) of the distinct ones."""
     sets = stored(sketches(docs, id_col, text_col, percent, k, size), "near-sets", 2000)
     classes = stored(sets.where("n > 0").groupBy("digest").agg(F.min("key").alias("rep"), F.min("id").alias("least_id")), "near-classes")
     reps = sets.join(broadcast_if_small(classes.select("rep")), F.col("key") == F.col("rep"), "left_semi")
@@ -434,6 +424,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         joined = old.select(F.coalesce("node", "m").alias("node"), F.coalesce("r", "root").alias("root"))
 
     named = stored(classes.join(joined, F.col("rep") == F.col("node"), "left").select("digest", "least_id", F.coalesce("root", "rep").alias("root")), "near-named")
+    return sets, named
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5, k: int = K, long_k: int = LONG_K, block: int = BLOCK, pilots: int = PILOTS) -> DataFrame:
+    """One row for each row of ``docs``: id, n_shingles, component_id, kept, text_hash, component_key.
+
+    Documents link when 100 * intersection >= percent * union of their full
+    shingle sets.  Null and empty texts, and texts without words, have empty
+    sets and link with nothing, so such a row is its own component.  Ids may be
+    of any ordered type; the id of a component is the least of its ids.  Rows
+    that repeat an id are told apart by their texts; a component of null ids
+    only has a null id, and its rows are kept.  ``text_hash`` (xxhash64 of the
+    text, null as empty) leads back to the rows where ids repeat, and
+    ``component_key`` is a component's own number, which its id is not then.
+    """
+    with scratch(docs.sparkSession) as keep:
+        sets, named = map(keep, _components_of_sets(docs, id_col, text_col, percent, size, k, long_k, block, pilots))
     least = named.groupBy("root").agg(F.min("least_id").alias("component"))
     named = named.join(least, "root").select(F.col("digest").alias("d"), "component", "root")
     out = sets.select("key", "id", "n", "digest", "text_hash").join(named, F.when(F.col("n") > 0, F.col("digest")) == F.col("d"), "left")
