@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.bpe import token_digests
-from sluice.llm.common import broadcast_if_small, free_names, fresh_path, stored, table
+from sluice.llm.common import broadcast_if_small, free_names, fresh_path, remove_path, stored, table
 from sluice.llm.line_dedup import line_dedup
 from sluice.llm.mixing import mixed_documents
 from sluice.llm.near_dedup import near_dedup
@@ -79,10 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages in turn over ``documents``; what a stage wrote goes when the next one has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            remove_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
