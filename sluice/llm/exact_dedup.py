@@ -3,9 +3,9 @@
 Rows with equal normalised texts meet in three steps: inside each task (the
 partial aggregate), inside each salted digest group, and at last between the
 winners of the salts.  Each step groups by the digest *and the full text*, so
-that no two different texts are ever taken for one.  A group of copies of any
-size is a handful of rows after the first step and at most ``salts`` rows
-after the second.
+that no two different texts are ever taken for one.  The salt of a row is its
+task's, so a group of copies of any size is one row a task after the first step
+and at most ``salts`` rows after the second.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     norm = ascii_lower(text_or_empty(text_col))
     keyed = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).select(
-        "id", "norm", F.sha2("norm", 256).alias("digest"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")
+        "id", "norm", F.sha2("norm", 256).alias("digest"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt")
     )
     winners = cut(
         _combine(keyed)

@@ -77,6 +77,66 @@ def test_corner_tables(spark, kind):
     assert line_dedup.line_dedup(d).columns[:5] == d.columns
 
 
+def test_corner_vectors_and_pages(spark):
+    vectors = "vec_id long, embedding array<float>, label int, key string, part string, u long"
+    pages = "page_id long, url string, html string, shard string, digest string, first long"
+    assert embedding_dedup.embedding_dedup(spark.createDataFrame([], vectors)).count() == 0
+    rows = [(None, None, None, "a", "b", 1), (1, [], 0, "a", "b", 1), (2, [0.0], 0, "a", "b", 1), (3, [float("nan")], 0, "a", "b", 1), (4, [1.0], 0, "a", "b", 1), (5, [2.0], 0, "a", "b", 1), (5, [2.0], 0, "a", "b", 1), (6, [1.0], None, "a", "b", 1), (7, [1.0, None], 0, "a", "b", 1)]
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, vectors)).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in got) == [(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 2, 4), (5, 2, 4), (5, 2, 4), (6, 0, 6), (7, 0, 7)]
+    rows = [(None, None, None, "s", "d", 1), (1, "u", "", "s", "d", 1), (1, "u", "", "s", "d", 1), (2, None, "h" * 3_000_000, "s", "d", 1), (3, "v", "h" * 3_000_000, "s", "d", 1)]
+    path = fresh_path(spark, "warc-corners")
+    warc.write_warc(spark.createDataFrame(rows, pages), path)
+    got = warc.read_warc(spark, path).collect()
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got) == [(0, "response", None, 0), (1, "response", None, 0), (1, "response", None, 0), (2, "revisit", 3, 3_000_000), (3, "response", None, 3_000_000)]
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    """Texts of a million characters, with and without spaces and line ends, beside columns named as anything inside the operators."""
+    words = " ".join(f"w{i}" for i in range(150_000))
+    lines = "\n".join(f"line number {i} which is rather long, I would say" for i in range(20_000))
+    texts = [words, words + " more", "x" * 1_000_000, lines, lines, lines + "\nA", lines + "\nB", lines + "\nC", "Ab" * 400_000, "aB" * 400_000]
+    names = ["id", "key", "text_hash", "own_0", "own_1", "_left", "_drop", "k0", "h", "at", "position", "n", "digest", "hash", "bucket", "start"]
+    rows = [(i, t, "ab"[i % 2], *["x"] * len(names)) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    near = {r["doc_id"]: r for r in near_dedup.near_dedup(d).collect()}
+    assert [near[i]["component_id"] for i in range(len(texts))] == [0, 0, 2, 3, 3, 3, 3, 3, 8, 8] and near[0]["n_shingles"] == 149_996
+    cleaned = line_dedup.line_dedup(d)
+    assert cleaned.columns == [*d.columns, "n_lines", "n_dropped"]
+    left = {r["doc_id"]: r for r in cleaned.collect()}
+    assert (left[3]["text"], left[6]["text"], left[7]["text"], left[3]["n_dropped"]) == ("", "B", texts[7], 20_000)
+    exact = {r["doc_id"]: r for r in exact_dedup.exact_dedup(d).collect()}
+    assert (exact[3]["keep_id"], exact[3]["group_size"], exact[8]["keep_id"], exact[9]["kept"]) == (4, 2, 9, True)
+    assert sum(r["size"] for r in mixing.mix(d).collect()) == sum(len(t.split()) for t in texts)
+    mixed = mixing.mixed_documents(d)
+    assert mixed.columns == d.columns and {r["text"] for r in mixed.collect()} <= set(texts)
+    model = quality.QualityModel(b"", b"", 0.5, (0.0,) * 3, (1.0,) * 3, (0.0, 1.0, 1.0, 1.0))
+    scores = {r["doc_id"]: r["score"] for r in quality.score_quality(d, model).collect()}
+    plain = quality.compressor(b"")
+    for i, t in enumerate(texts):  # recomputed piece by piece
+        size = sum(len(plain.compress(t.encode()[a : a + 1000])) for a in range(0, len(t.encode()), 1000))
+        ratio = np.log(size / len(t.encode()) + 0.01)
+        assert abs(scores[i] - 1 / (1 + np.exp(-(0 + ratio + ratio**2)))) < 1e-9
+    assert pii.sanitise(d).columns == d.columns and bpe.token_digests(d, *vocabulary()).count() == token_counts.token_counts(d, vocabulary()[0]).count() == len(texts)
+
+
+def test_quality_scores_brute(spark):
+    """Scores recomputed from the model's dictionaries in plain Python, and the difference of both sizes behind them."""
+    rng = random.Random(3)
+    make = lambda good: " ".join(rng.choices(["stone", "river", "window", "morning"] if good else ["buy", "cheap", "click", "now!!!"], k=60))
+    texts = [make(i % 3 > 0) for i in range(240)] + ["", None, "é" * 700]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(240)], "doc_id long, quality int")
+    model = quality.fit_quality(docs(spark, texts), labels)
+    good, bad = quality.compressor(model.good), quality.compressor(model.bad)
+    for r in quality.score_quality(docs(spark, texts), model).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        pieces = [raw[a : a + 1000] for a in range(0, len(raw), 1000)] or [b""]
+        g, b = (sum(len(c.compress(p)) for p in pieces) for c in (good, bad))
+        ratio = np.log(min(g, b) / max(len(raw), 1) + 0.01)
+        x = [(v - m) / s for v, m, s in zip(((g - b) / max(g + b, 1), ratio, ratio**2), model.mean, model.spread, strict=True)]
+        assert abs(r["score"] - 1 / (1 + np.exp(-(model.weights[0] + np.dot(x, model.weights[1:]))))) < 1e-9
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(200, 201), (201, 200), (5, 5)]
     got = dict((r["node"], r["root"]) for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
