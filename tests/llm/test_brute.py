@@ -429,11 +429,38 @@ def test_pii_terms_brute(spark):
         assert {s for s in r["spans"].split(",") if s.startswith("term:")} == want[r["doc_id"]], texts[r["doc_id"]]
 
 
+def test_sanitise_brute(spark):
+    """Every span replaced from left to right, recomputed from the spans that were found."""
+    filler = [f"filler{i} words" for i in range(40)]
+    texts = [f"{filler[i]} Zorblax writes{' room7' if i % 2 else ''} from zed@mail.org 1.2.3.4@x.org é again" + " gap" * 1500 + " +49 30 123456789 end" for i in range(6)] + [f"{f} again from nobody writes" for f in filler] + [None, ""]
+    texts += [f"{filler[6]} room7"]
+    found = {r["doc_id"]: r for r in pii.find_pii(docs(spark, texts)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(spark, texts)).collect()}
+    labels = set()
+    for i, t in enumerate(texts):
+        at, out = 0, ""
+        full = {r["start"] for r in found[i]["terms"] if r["full"]}
+        for kind, start, end in (x.split(":") for x in found[i]["spans"].split(",") if x):
+            start, end = int(start), int(end)
+            if start >= at:
+                word = t[start:end]
+                looks = "<NUMBER>" if re.search("[0-9]", word) else "<NAME>" if word[0].isupper() else "<WORD>"
+                label = f"<{kind.upper()}>" if kind != "term" else "" if start in full else looks
+                labels.add(label)
+                out += t[at:start] + label
+            at = max(at, end)
+        assert clean[i] == (out + t[at:] if found[i]["spans"] else t)
+    assert {"<EMAIL>", "<PHONE>", ""} <= labels and labels & {"<NUMBER>", "<NAME>", "<WORD>"}
+
+
 def test_pii_is_linear_in_matches(spark):
     import time
 
     d = docs(spark, ["1." * 100_000, "a@b.co " * 20_000])
     began = time.time()
+    assert [r["text"][:8] for r in pii.sanitise(d).orderBy("doc_id").collect()] == ["<IP>.<IP", "<EMAIL> "]
+    assert time.time() - began < 60
+    began = time.time()
     got = {r["doc_id"]: r for r in pii.find_pii(d).collect()}
     assert got[0]["n_ip"] == 25_000 and got[1]["n_email"] == 20_000 and time.time() - began < 60
 
