@@ -5,7 +5,7 @@ random sign codes give every vector its first neighbours.  Rounds of
 neighbours-of-neighbours joins then improve the lists: around each vector where
 something changed its neighbours and reverse neighbours meet, all pairs among
 them are measured, and the best ``k`` of each vector stay.  A list that is full of
-links is saturated and gets twice the length, up to ``most_k``.  Rounds end when
+links is saturated and gets ``GROWTH`` times the length, up to ``most_k``.  Rounds end when
 none adds a link or lengthens a list.
 
 Vectors whose longest lists are saturated are dense.  A link between a dense vector
@@ -34,6 +34,8 @@ from .graph import components
 #: Sign bits of a code.
 BITS = 40
 _SALTS = 8
+#: By how much a saturated list is enlarged.
+GROWTH = 4
 #: Vectors of a block.
 BLOCK = 1024
 
@@ -128,7 +130,7 @@ def full(threshold: float) -> Column:
     return (F.size("near") >= F.col("k")) & (-F.element_at("near", -1)["down"] >= threshold)
 
 
-def descend(graph: DataFrame, reps: DataFrame, kind: str) -> DataFrame:
+def descend(graph: DataFrame, reps: DataFrame, kind: str, threshold: float) -> DataFrame:
     """(u, v, sim) found by one neighbours-of-neighbours join around all that has a fresh edge; ``graph`` has u, k, near, longer."""
     edges = edges_of(graph)
     back = edges.select(F.col("v").alias("w"), F.col("u").alias("x"), "sim", F.col("k"))
@@ -140,7 +142,9 @@ def descend(graph: DataFrame, reps: DataFrame, kind: str) -> DataFrame:
     changed = edges.where("fresh").select(F.explode(F.array("u", "v")).alias("w"))
     grown = edges_of(graph.where("longer")).select(F.explode(F.array("u", "v")).alias("w"))
     around = around.join(changed.unionByName(grown).distinct(), "w", "left_semi")
-    worst = graph.select(F.col("u").alias("g"), F.when(F.size("near") >= F.col("k"), -F.element_at("near", -1)["down"]).otherwise(F.lit(-2.0)).alias("worst"))
+    # a list that was full of links and got longer has use for links only
+    least = F.when(F.col("longer"), F.lit(np.nextafter(threshold, -1).item())).otherwise(F.lit(-2.0))
+    worst = graph.select(F.col("u").alias("g"), F.when(F.size("near") >= F.col("k"), -F.element_at("near", -1)["down"]).otherwise(least).alias("worst"))
     held = reps.select("id", "vec").join(worst, F.col("id") == F.col("g"), "left").select("id", "vec", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
     rows = around.join(held, F.col("x") == F.col("id")).select("w", "x", "vec", "worst").repartition("w").sortWithinPartitions("w")
 
@@ -172,9 +176,9 @@ def neighbour_graph(reps: DataFrame, kind: str, threshold: float, k: int, most_k
     graph = stored(best(flagged(first_neighbours(reps, kind, range(orders), window), True, k)), "nn-graph")
     for n in itertools.count(1):
         longer = full(threshold) & (F.col("k") < most_k)
-        grown = graph.withColumn("longer", longer).withColumn("k", F.when(F.col("longer"), F.least(F.col("k") * 2, F.lit(most_k))).otherwise(F.col("k")))
+        grown = graph.withColumn("longer", longer).withColumn("k", F.when(F.col("longer"), F.least(F.col("k") * GROWTH, F.lit(most_k))).otherwise(F.col("k")))
         known = edges_of(grown).select("u", "v", "sim", F.lit(False).alias("fresh"), "k")
-        graph = stored(best(known.unionByName(flagged(descend(grown, reps, kind), True, 0).select("u", "v", "sim", "fresh", "k"))), "nn-graph")
+        graph = stored(best(known.unionByName(flagged(descend(grown, reps, kind, threshold), True, 0).select("u", "v", "sim", "fresh", "k"))), "nn-graph")
         more = (full(threshold) & (F.col("k") < most_k)) | F.exists("near", lambda e: e["fresh"] & (-e["down"] >= threshold))
         if n >= least_rounds and graph.where(more).isEmpty():
             return graph
@@ -321,7 +325,7 @@ def _linked(vectors: DataFrame, id_col: str, vec_col: str, label_col: str, thres
     return packed, found
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, k: int = 16, most_k: int = 64, orders: int = 8, window: int = 4, audit: int = 512, least_recall: float = 0.95) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, k: int = 8, most_k: int = 32, orders: int = 8, window: int = 4, audit: int = 512, least_recall: float = 0.95) -> DataFrame:
     """One row for each row of ``vectors``: id, n_links, component_id, kept.
 
     Vectors of equal labels link when their cosine, in double precision, is at

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, ship, tidy
+from .common import cut, ship, tidy
 
 
 @tidy
@@ -35,9 +35,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _forest(edges: DataFrame) -> DataFrame:
-    """As few edges as join what ``edges`` join within each partition, where they are dealt evenly, hubs or not."""
+    """As few edges as join what ``edges`` join within each partition.
+
+    Repeated edges are combined before they move, and hashing both ends deals the rest evenly, hubs or not.
+    """
     ship(edges.sparkSession)
-    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).repartition(partitions(edges.sparkSession), "a", "b").mapInArrow(_stars, "a long, b long")
+    single = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return single.mapInArrow(_stars, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
