@@ -6,8 +6,9 @@ carries along.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from ..functions.text import strip, words
 
 #: Bands and rows a band for a similarity threshold, of 64 hash values.
 BANDS = {0.8: (5, 11), 0.9: (3, 21)}
+#: Undecided rows that near de-duplication leaves to one task.
+REST = 500_000
 
 
 def from_list(spark: SparkSession, lines: Sequence[str]) -> DataFrame:
@@ -59,12 +62,40 @@ def banding(threshold: float, values: int = 64) -> tuple[int, int]:
     return min(((b, r) for b in range(1, values + 1) for r in range(1, values // b + 1)), key=lambda x: loss(*x))
 
 
+def _in_order(open_: DataFrame) -> DataFrame:
+    """The lines of (line_no, bucket) that go, found in one pass by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[int] = set()
+        line, own, gone = None, [], []
+
+        def decide() -> None:
+            if held.isdisjoint(own):
+                held.update(own)
+            else:
+                gone.append(line)
+
+        for batch in batches:
+            for number, bucket in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != line:
+                    if own:
+                        decide()
+                    line, own = number, []
+                own.append(bucket)
+        if own:
+            decide()
+        yield pa.RecordBatch.from_arrays([pa.array(gone, type=pa.int64())], names=["line_no"])
+
+    return open_.select("line_no", "bucket").repartition(1).sortWithinPartitions("line_no").mapInArrow(run, "line_no long")
+
+
 def near_dedup(lines: DataFrame, threshold: float) -> DataFrame:
     """Lines that share no MinHash band with an earlier line that stays.
 
     A line stays once it is the least undecided line of all its buckets; all
-    later lines of those buckets go.  Rounds repeat until all is decided, with
-    one aggregate a round and no pairs.
+    later lines of those buckets go.  Rounds repeat, with one aggregate each and no
+    pairs, until what is undecided has no more than REST rows, and one task
+    goes through it in order; so long chains of conflicts cost no round a link.
     """
     bands, rows = banding(threshold)
     found = lines.withColumn("w", words(F.col("line")))
@@ -74,7 +105,11 @@ def near_dedup(lines: DataFrame, threshold: float) -> DataFrame:
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     open_ = cut(buckets.join(shared, "bucket", "left_semi"))
     gone: DataFrame | None = None
-    while not open_.isEmpty():
+    while few := open_.limit(REST + 1).count():
+        if few <= REST:
+            dropped = cut(_in_order(open_))
+            gone = dropped if gone is None else gone.unionByName(dropped)
+            break
         heads = open_.groupBy("bucket").agg(F.min("line_no").alias("head"))
         marked = cut(open_.join(heads, "bucket"))
         kept = marked.groupBy("line_no").agg(F.bool_and(F.col("line_no") == F.col("head")).alias("stays")).where("stays").select(F.col("line_no").alias("kept"))

@@ -104,7 +104,9 @@ def greedy(lines, keys):
     return kept
 
 
-def test_near_dedup_is_the_greedy_choice(spark):
+@pytest.mark.parametrize("rest", [0, 60, 500_000])
+def test_near_dedup_is_the_greedy_choice(spark, monkeypatch, rest):
+    monkeypatch.setattr(L, "REST", rest)
     rng = random.Random(3)
     base = [" ".join(rng.choices("abcdefghijklmnopqrst", k=20)) for _ in range(12)]
     text = [" ".join(w if rng.random() > 0.04 else "zz" for w in rng.choice(base).split()) for _ in range(120)]
