@@ -12,7 +12,7 @@ from .config import Level, Mode, OutputFormat
 from .engine import Reducer, save
 from .operators.sampling import sample_fraction
 from .plans.target import collect_target
-from .sources.readers import open_dsn, read_text, size_bytes
+from .sources.readers import batches_of, open_dsn, read_text, size_bytes
 
 
 def parser() -> argparse.ArgumentParser:
@@ -54,7 +54,9 @@ def run(args: argparse.Namespace) -> None:
             raise ValueError("--estimate is for files")
         print("\n".join(f"{k}: {v}" for k, v in reducer.estimate(args.input_file).items()), file=out)
         return
-    if args.dsn:
+    if args.dsn and args.target_rows and args.query and not args.dsn.startswith("kafka://"):
+        source, label, size = batches_of(spark, args.dsn, args.query), args.dsn.split("://")[0], None
+    elif args.dsn:
         source, label, size = open_dsn(spark, args.dsn, query=args.query, topic=args.topic, group=args.group, sample=args.sample, sample_seed=args.sample_seed), args.dsn.split("://")[0], None
     else:
         source, label, size = read_text(spark, args.input_file), args.input_file, size_bytes(spark, args.input_file)

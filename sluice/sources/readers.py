@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -195,3 +195,8 @@ def open_dsn(spark: SparkSession, dsn: str, *, query: str | None = None, topic:
     if scheme == "clickhouse":
         return read_clickhouse(spark, dsn, query, sample)
     return read_jdbc(spark, dsn, query, sample=sample, sample_seed=sample_seed)
+
+
+def batches_of(spark: SparkSession, dsn: str, query: str) -> Callable[[int], DataFrame]:
+    """A function that draws so many random rows of a query inside the database that a DSN names."""
+    return lambda rows: read_jdbc_batch(spark, dsn, query, rows)

@@ -145,6 +145,19 @@ def test_cli(spark, tmp_path, capsys):
     assert main([str(source), "--target-rows", "3", "--sample-seed", "1"]) == 0
 
 
+def test_target_rows_of_a_database_are_drawn_there(spark, monkeypatch, capsys):
+    queries = []
+
+    def read(spark, url, query, **how):
+        queries.append(query)
+        return L.from_list(spark, LINES if len(queries) == 1 else [])
+
+    monkeypatch.setattr(readers, "read_jdbc", read)
+    assert main(["--dsn", "sqlite:///x.db", "--query", "SELECT line FROM t", "--target-rows", "500"]) == 0
+    assert queries == [f"SELECT * FROM (SELECT line FROM t) AS batch ORDER BY random() LIMIT {n}" for n in (10_000, 1_000_000)]
+    assert set(capsys.readouterr().out.splitlines()) <= set(LINES)
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.log").write_text("\n".join([*LINES[:5], *LINES[:5], "", "2024-01-02 00:00:00 INFO late 1"]))
