@@ -10,7 +10,6 @@ from datetime import datetime
 from . import __version__
 from .config import Level, Mode, OutputFormat
 from .engine import Reducer, save
-from .operators.sampling import sample_fraction
 from .plans.target import collect_target
 from .sources.readers import batches_of, open_dsn, read_text, size_bytes
 
