@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from .common import ship, text_or_empty, tidy, without_collection
 #: Characters of text in a block.
 BLOCK_CHARS = 4_000_000
 #: Entries that a worker keeps from block to block.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 #: Longer chunks are not remembered.
 LONG = 64
 # A space between white space and white space (or the end): where cutting before each space would not be exact.
@@ -234,16 +235,16 @@ def coder(content: bytes, pattern: str) -> ByteBPE:
     return _loaded[key]
 
 
-def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` with about ``most`` characters each."""
+def blocks(sizes: list[int], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of ``sizes`` characters with about ``most`` of them each."""
     start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > most:
+    for i, own in enumerate(sizes):
+        if size and size + own > most:
             yield start, i
             start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        size += own
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 Derive = Callable[[ByteBPE, str, str], object]
@@ -268,10 +269,10 @@ def with_tokens(docs: DataFrame, path: str, pattern: str, derive: dict[str, tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(content.value, pattern)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, stop in blocks(texts):
+            sizes = pc.utf8_length(batch.column(1)).to_pylist()
+            for start, stop in blocks(sizes):
                 with without_collection():
-                    part = texts[start:stop]
+                    part = batch.column(1).slice(start, stop - start).to_pylist()
                     ids = bpe.encode(part)
                     columns = [pa.array([make(bpe, t, i) for t, i in zip(part, ids, strict=True)], type=kind) for kind, _, make in derive.values()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), *columns], names=[id_col, *derive])
