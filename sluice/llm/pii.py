@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, free_names, text_or_empty
+from .common import ascii_lower, free_names, scratch, stored, text_or_empty
 
 #: Kinds in the order in which equal starts are listed; ``term`` is the method's own.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -168,6 +168,10 @@ def _part(chunks: Column, start: Column, size: Column) -> Column:
     return F.substring(near, start - at * _CHUNK + 1, size)
 
 
+def _between(text: Column, chunks: Column, start: Column, stop: Column) -> Column:
+    return F.when(stop - start <= _CHUNK, _part(chunks, start, stop - start)).otherwise(F.substring(text, start + 1, stop - start))
+
+
 def _around(chunks: Column, reach: int) -> Column:
     def around(kind: str):
         def sides(s: Column) -> Column:
@@ -194,55 +198,160 @@ def row_key(id_: Column, text: Column) -> Column:
     return F.md5(F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), F.md5(text)))
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 64, alpha: float = 1.25, support: int = 3) -> DataFrame:
+def _by_block(spans: Column, out: Column, step) -> Column:
+    """What ``step`` makes of each block of spans in order, from ``at``, the greatest end before the block, and ``out``."""
+    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / F.lit(_BLOCK)).cast("int"))
+    of = lambda j: F.slice(spans, j * _BLOCK + 1, F.lit(_BLOCK))
+    ends = F.transform(blocks, lambda j: F.array_max(F.transform(of(j), lambda s: s["end"])))
+
+    def block(j: Column, ends: Column) -> Column:
+        at = F.coalesce(F.array_max(F.slice(ends, F.lit(1), j)), F.lit(0))
+        return F.aggregate(of(j), F.struct(at.alias("at"), out.alias("out")), step, lambda acc: acc["out"])
+
+    return once(ends, lambda known: F.transform(blocks, lambda j: block(j, known)))
+
+
+def _masked(text: Column, base: Column) -> Column:
+    """The text with all that base spans, (start, kind, end) in order, cover blanked, code point by code point."""
+
+    def whole(chunks: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            start = F.greatest(acc["at"], s["start"])
+            parts = F.concat(acc["out"], _between(text, chunks, acc["at"], start), F.repeat(F.lit(" "), s["end"] - start))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("out"))
+
+        last = F.array_max(F.transform(base, lambda s: s["end"]))
+        return F.concat(F.array_join(_by_block(base, F.lit(""), step), ""), F.substring(text, last + 1, F.char_length(text)))
+
+    return F.when(F.size(base) > 0, once(_chunks(text), whole)).otherwise(text)
+
+
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _word_places(rows: DataFrame, text_col: str) -> DataFrame:
+    """``rows`` with one row for each word of a text: s (start, end, value)."""
+    others = [c for c in rows.columns if c != text_col]
+    rows = rows.withColumn("pieces", F.split(text_col, TERM, -1)).withColumn("found", F.regexp_extract_all(text_col, F.lit(TERM), F.lit(0)))
+    return rows.select(*others, F.explode(running_spans(F.col("pieces"), F.col("found"))).alias("s"))
+
+
+def _held_together(of: str) -> list[Column]:
+    """128 bits of the set of the rows of a group, for which each row must come once."""
+    return [F.bit_xor(F.xxhash64(F.col("row"), F.lit(f"{of}{i}"))).alias(f"s{i}") for i in (1, 2)]
+
+
+def _terms_nearby(kept: DataFrame, holders: DataFrame, word_counts, total: int, reach: int, alpha: float, support: int) -> DataFrame | None:
+    """row, terms: of the words within ``reach`` code points of an entity."""
+    live = kept.join(_entity_rows(kept).join(holders, "entity").select("row").distinct(), "row")
+    near = live.select("row", F.explode(_contexts(F.col("shown"), reach)).alias("n")).select("row", F.col("n.entity").alias("entity"), F.col("n.from").alias("from"), F.col("n.text").alias("t"))
+    near = _word_places(near.join(holders.select("entity"), "entity"), "t")
+    # a word that belongs to an entity itself is no term
+    near = near.select("row", "entity", F.lower("s.value").alias("term"), (F.col("from") + F.col("s.start")).alias("start"), (F.col("from") + F.col("s.end")).alias("end")).distinct()
+    near = stored(near, "pii-near")
+    together = stored(near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support), "pii-pairs")
+    if together.isEmpty():
+        return None
+    counts = word_counts(together.select("term").distinct())
+    judged = together.join(holders, "entity").join(counts, "term")
+    strong = judged.where(_discloses(F.col("n_et"), F.col("n_e"), F.col("n_t"), total, alpha)).select("entity", "term", (F.col("n_et") >= F.col("n_t")).alias("full"))
+    places = near.join(strong, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("full").alias("full"))
+    return places.groupBy("row").agg(F.collect_list(F.struct("start", "end", "full")).alias("terms"))
+
+
+def _terms_anywhere(kept: DataFrame, holders: DataFrame, word_counts, total: int, alpha: float, support: int) -> DataFrame | None:
+    """row, terms: of all words of the texts that hold an entity.
+
+    Entities that the same rows hold, and terms that the same of these rows and
+    equally many others hold, are judged as one: copies of a text with many
+    entities and words cost one pair.  n(t) <= n(e) ** (1 / alpha) * N ** (1 - 1 / alpha)
+    follows from the threshold, as n(e, t) <= n(e); no other pair is formed.
+    """
+    held = stored(_entity_rows(kept).join(holders, "entity"), "pii-held")
+    words = kept.join(held.select("row").distinct(), "row").select("row", F.explode(_words(F.col("shown"))).alias("term"))
+    words = stored(words, "pii-words")
+    bound = F.log2(F.lit(float(total)) / F.col("n_t")) + 1e-9
+    least = held.agg(F.min(F.log2(F.lit(float(total)) / F.col("n_e")))).first()[0]
+    counts = stored(word_counts(words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("term")).where(bound >= least / alpha), "pii-counts")
+    words = words.join(counts, "term")
+    same = words.groupBy("term").agg(*_held_together("t"), F.first("n_t").alias("n_t"))
+    of_term = stored(same.select("term", F.struct("s1", "s2", "n_t").alias("tc")), "pii-term-classes")
+    tc = stored(words.join(of_term, "term").select("row", "tc").distinct(), "pii-row-terms")
+    same = held.groupBy("entity").agg(*_held_together("e"), F.first("n_e").alias("n_e"))
+    ec = stored(held.join(same.select("entity", F.struct("s1", "s2", "n_e").alias("ec")), "entity").select("row", "ec").distinct(), "pii-row-entities")
+    pairs = ec.join(tc, "row").where(F.log2(F.lit(float(total)) / F.col("tc.n_t")) + 1e-9 >= F.log2(F.lit(float(total)) / F.col("ec.n_e")) / alpha)
+    n_et = pairs.groupBy("ec", "tc").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
+    strong = n_et.where(_discloses(F.col("n_et"), F.col("ec.n_e"), F.col("tc.n_t"), total, alpha))
+    strong = stored(strong.select("ec", "tc", (F.col("n_et") >= F.col("tc.n_t")).alias("full")), "pii-strong")
+    if strong.isEmpty():
+        return None
+    told = pairs.join(strong, ["ec", "tc"]).groupBy("row", "tc").agg(F.max("full").alias("full"))
+    told = stored(told.join(of_term, "tc").select("row", "term", "full"), "pii-told")
+    places = _word_places(kept.join(told.select("row").distinct(), "row").select("row", "shown"), "shown")
+    places = places.select("row", F.lower("s.value").alias("term"), "s.start", "s.end").join(told, ["row", "term"])
+    return places.groupBy("row").agg(F.collect_list(F.struct("start", "end", "full")).alias("terms"))
+
+
+def _discloses(n_et: Column, n_e: Column, n_t: Column, total: int, alpha: float) -> Column:
+    return F.log2(n_et * F.lit(float(total)) / (n_e * n_t)) >= F.log2(F.lit(float(total)) / n_e) / alpha
+
+
+def _entity_rows(kept: DataFrame) -> DataFrame:
+    """The distinct (row, entity)."""
+    return kept.where(F.col("shown").isNotNull()).select("row", F.explode(F.array_distinct(F.concat(*map(_entities, PATTERNS)))).alias("entity"))
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = 64, alpha: float = 1.25, support: int = 3) -> DataFrame:
     """id, _text_key, n_email, n_ip, n_card, n_phone, base, spans (``kind:start:end``), terms, of every row.
 
     Offsets are code points, ends exclusive.  Null texts are empty; rows of one
     id with different texts are kept apart; repeated rows get equal spans.
     ``terms`` holds (start, end, full) of the method's own spans; full says
     that the term discloses its entity completely.  Corpus statistics count
-    documents, over all rows.
+    documents, over all rows.  A term stands near an entity within ``reach``
+    code points of it or, if that is None, anywhere in a text that holds the
+    entity, outside all base spans.
     """
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     source = source.withColumn("key", row_key(F.col("id"), F.col("text")))
-    spans = base_spans(source)
-    kept = spans.select(F.monotonically_increasing_id().alias("row"), "id", "key", *[f"_{k}" for k in PATTERNS], _contexts(F.col("text"), reach).alias("near"))
-    kept = cut(kept)
-
-    near = kept.where(F.size("near") > 0).select("row", "key", F.explode("near").alias("n"))
-    near = near.select("row", "key", F.col("n.entity").alias("entity"), F.col("n.from").alias("from"), F.col("n.text").alias("t"))
-    near = near.withColumn("pieces", F.split("t", TERM, -1)).withColumn("found", F.regexp_extract_all("t", F.lit(TERM), F.lit(0)))
-    near = near.select("row", "key", "entity", "from", F.explode(running_spans(F.col("pieces"), F.col("found"))).alias("s"))
-    # a word that belongs to an entity itself is no term
-    near = near.select("row", "key", "entity", F.lower("s.value").alias("term"), (F.col("from") + F.col("s.start")).alias("start"), (F.col("from") + F.col("s.end")).alias("end")).distinct()
-    near = cut(near)
+    base = F.concat(*[_named(F.col(f"_{k}"), i) for i, k in enumerate(PATTERNS)])
+    some = F.size("b") > 0
+    shown = F.col("text") if reach is not None else _masked(F.col("text"), F.col("b"))
+    spans = base_spans(source).withColumn("b", F.array_sort(base)).withColumn("shown", F.when(some, shown))
+    # words that a mask has cut out of longer ones
+    torn = F.array_except(_words(F.col("shown")), _words(F.col("text"))) if reach is None else F.array().cast("array<string>")
+    none = F.array().cast("array<struct<start:int,end:int,full:boolean>>")
+    with scratch(docs.sparkSession) as keep:
+        kept = stored(spans.select(F.monotonically_increasing_id().alias("row"), "id", "key", *[f"_{k}" for k in PATTERNS], "b", "shown", F.when(some, torn).alias("torn")), "pii")
+        kept = keep(kept)
+        total = kept.count()
+        # n(e, t) is at most n(e)
+        holders = _entity_rows(kept).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+        holders = stored(holders.where((F.col("n_e") >= support) & (F.col("n_e") < total)), "pii-holders")
+
+        def word_counts(wanted: DataFrame) -> DataFrame:
+            # each task counts its own words before any move; those that are not wanted go after that
+            words = source.select(F.explode(_words(F.col("text"))).alias("term")).union(kept.select(F.explode("torn").alias("term")))
+            return words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term")
 
-    # all counts are of rows
-    together = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
-    holders = kept.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.concat(*map(_entities, PATTERNS)))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    together = cut(together)
-    if together.isEmpty():
         terms = None
-    else:
-        # each task counts its own words before any move; those that no entity is near to go after that
-        words = source.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-        counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(together.select("term").distinct(), "term")
-        total = kept.count()
-        judged = together.join(holders, "entity").join(counts, "term")
-        pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
-        content = F.log2(F.lit(float(total)) / F.col("n_e"))
-        strong = cut(judged.where((content > 0) & (pmi >= content / alpha)).select("entity", "term", (F.col("n_et") >= F.col("n_t")).alias("full")))
-        terms = near.drop("row").join(strong, ["entity", "term"]).groupBy("key").agg(F.collect_set(F.struct("start", "end", "full")).alias("terms"))
+        if not holders.isEmpty():
+            how = (kept, holders, word_counts, total)
+            terms = _terms_anywhere(*how, alpha, support) if reach is None else _terms_nearby(*how, reach, alpha, support)
+        if terms is not None:
+            terms = keep(stored(terms, "pii-terms"))
 
-    base = F.concat(*[_named(F.col(f"_{k}"), i) for i, k in enumerate(PATTERNS)])
-    out = kept.select("id", "key", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in PATTERNS], base.alias("b"))
+    out = kept.select("row", "id", "key", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in PATTERNS], "b")
     if terms is None:
-        out = out.withColumn("terms", F.array().cast("array<struct<start:int,end:int,full:boolean>>"))
+        out = out.withColumn("terms", none)
     else:
         # a term inside a base span adds nothing
         clear = lambda s: ~F.exists("b", lambda x: (s["start"] < x["end"]) & (x["start"] < s["end"]))
-        out = out.join(terms, "key", "left").withColumn("terms", F.filter(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,full:boolean>>")), clear))
-    own = F.array_distinct(_named(F.col("terms"), len(KINDS) - 1))
+        out = out.join(terms, "row", "left").withColumn("terms", F.coalesce("terms", none))
+        out = out if reach is None else out.withColumn("terms", F.filter("terms", clear))
+    own = _named(F.col("terms"), len(KINDS) - 1)
     return out.select(
         F.col("id").alias(id_col), F.col("key").alias("_text_key"), *[f"n_{k}" for k in PATTERNS],
         _listed(F.col("b")).alias("base"), _listed(F.concat("b", own)).alias("spans"), "terms",
@@ -277,16 +386,13 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         full = F.exists(terms, lambda t: (t["start"] == span["start"]) & t["full"])
         return F.when(span["kind"] != "term", F.concat(F.lit("<"), F.upper(span["kind"]), F.lit(">"))).when(full, "").otherwise(looks)
 
-    def between(start: Column, stop: Column, chunks: Column) -> Column:
-        return F.when(stop - start <= _CHUNK, _part(chunks, start, stop - start)).otherwise(F.substring(text, start + 1, stop - start))
-
     def written(kept: Column, chunks: Column) -> Column:
         end = lambda i: F.coalesce(F.get(kept, i)["end"], F.lit(0))
-        parts = F.transform(kept, lambda s, i: F.concat(between(end(i - 1), s["start"], chunks), label(s, chunks)))
+        parts = F.transform(kept, lambda s, i: F.concat(_between(text, chunks, end(i - 1), s["start"]), label(s, chunks)))
         return F.concat(F.array_join(parts, ""), F.substring(text, end(F.size(kept) - 1) + 1, F.char_length(text)))
 
-    nothing = F.named_struct(F.lit("at"), F.lit(0), F.lit("out"), F.slice(F.array(parsed(F.lit("x:0:0"))), 2, 1))
-    chosen = F.aggregate(F.transform(F.split(spans, ","), parsed), nothing, step, lambda acc: acc["out"])
+    nothing = F.slice(F.array(parsed(F.lit("x:0:0"))), 2, 1)
+    chosen = once(F.transform(F.split(spans, ","), parsed), lambda all_: F.flatten(_by_block(all_, nothing, step)))
     done = once(chosen, lambda kept: once(_chunks(text), lambda chunks: written(kept, chunks)))
     joined = docs.join(found, key == F.col(own), "left")
     return joined.withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(done)).select(*columns)

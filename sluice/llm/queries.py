@@ -62,7 +62,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(table(spark, sf_dir, "documents"))
+    found = find_pii(table(spark, sf_dir, "documents"), reach=None)
     return found.select("doc_id", *[f"n_{k}" for k in PATTERNS], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 

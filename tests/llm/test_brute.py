@@ -477,6 +477,63 @@ def test_pii_terms_that_reveal_an_entity(spark):
     assert "<EMAIL>" in clean[0] and "zed@" not in clean[0] and "Zorblax" not in clean[0] and clean[9] == texts[9]
 
 
+def test_pii_terms_in_whole_texts(spark, tmp_path):
+    """The query marks a term wherever it stands in a text that holds its entity, recomputed in plain Python."""
+    import math
+
+    rng = random.Random(21)
+    alpha, support = 1.25, 3
+    owners = {"Zorblax": "zed@mail.org", "Quimby": "+49 30 123456789", "Äther": "10.1.2.3", "İris": "4111 1111 1111 1111"}
+    texts = []
+    for i in range(160):
+        words = rng.choices(["office", "mail", "today", "report", "the", "zed", *owners], [8, 8, 8, 8, 9, 0.1, 0.004, 0.004, 0.004, 0.004], k=rng.randrange(3, 300))
+        for owner in rng.sample(list(owners), rng.choice([0, 0, 1, 2])):
+            words[0:0] = [owner]
+            words.append(rng.choice(["", "", "привет"]) + owners[owner] + ("中文字" if i % 4 == 0 else ""))
+            words += ["by", *rng.choices(["office", "the", owner], k=rng.randrange(4))] + ["1.2.3.4@x.org"] * (i % 7 == 0)
+        texts.append(" ".join(words))
+    texts += [texts[0], None, "", "привет 中文字"]
+    email, term = re.compile(r"[\w.]+@[\w-]+(\.[a-z0-9]+)+", re.ASCII), re.compile(r"\w{3,}")
+    known = re.compile(r"\+49 30 123456789|10\.1\.2\.3|4111 1111 1111 1111|1\.2\.3\.4")
+    holds, in_doc, places = {}, {}, []
+    for i, t in enumerate(t or "" for t in texts):
+        spans = [m for rx in (email, known) for m in rx.finditer(t)]
+        rest = list(t)
+        for m in spans:
+            holds.setdefault(m.group().lower(), set()).add(i)
+            rest[m.start() : m.end()] = " " * len(m.group())
+        own = {}
+        for m in term.finditer("".join(rest)) if spans else ():
+            own.setdefault(m.group().lower(), []).append((m.start(), m.end()))
+        places.append(own)
+        for w in {m.group().lower() for m in term.finditer(t)} | set(own):
+            in_doc.setdefault(w, set()).add(i)
+    n, want = len(texts), {i: set() for i in range(len(texts))}
+    for e, rows in holds.items():
+        for w in {w for i in rows for w in places[i]}:
+            both = {i for i in rows if w in places[i]}
+            if len(both) >= support and len(rows) < n and math.log2(len(both) * n / (len(rows) * len(in_doc[w]))) >= math.log2(n / len(rows)) / alpha:
+                for i in both:
+                    want[i] |= {(a, b, len(both) == len(in_doc[w])) for a, b in places[i][w]}
+    want = {i: {(a, b, any(x[:2] == (a, b) and x[2] for x in of)) for a, b, _ in of} for i, of in want.items()}
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["spans"] for r in QUERIES["op9_pii"](spark, str(tmp_path)).collect()}
+    assert sum(b < texts[i].index(next(filter(texts[i].__contains__, owners.values()))) - 64 for i, of in want.items() for _, b, _ in of) > 20
+    for i in range(n):
+        assert {s for s in got[i].split(",") if s.startswith("term:")} == {f"term:{a}:{b}" for a, b, _ in want[i]}, texts[i]
+    found = {r["doc_id"]: r for r in pii.find_pii(docs(spark, texts), reach=None).collect()}
+    assert all({(x["start"], x["end"], x["full"]) for x in found[i]["terms"]} == want[i] and found[i]["spans"] == got[i] for i in range(n))
+    assert len({f for of in want.values() for *_, f in of}) == 2
+
+
+def test_pii_copies_with_many_entities_and_words(spark):
+    """7000 entities and 3000 words that the same four long texts hold: judged as one, not as 21 million pairs."""
+    body = "".join(f"u{j % 7000}@b.co w{j % 3000:04} " for j in range(10_000))
+    d = docs(spark, [f"x{i}@b.co {body}" for i in range(4)] + ["plain words"])
+    terms = {r["doc_id"]: r["terms"] for r in pii.find_pii(d, reach=None).collect()}
+    assert [len(terms[i]) for i in range(5)] == [10_000] * 4 + [0] and all(t["full"] for t in terms[0])
+
+
 def test_quality_separates_held_out_documents(spark):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(["plain", "words", "form", "a", "text", "that", "reads", "well"]) for _ in range(80))
